@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomline.llm.conversations import clock_offsets, conversations
 from loomline.llm.encoding import encode_corpus
 from loomline.llm.leakage import leaked
+from loomline.llm.spans import shared_stretches
 from loomline.runtime import read_table
 
 
@@ -26,7 +27,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_clock_offsets, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_stretches(read_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_clock_offsets, p7_ids, p8_found, p9_found)}
 
 _BARE = r"nullif(regexp_replace({0}, '^[\s<>]+|[\s<>]+$', '', 'g'), '')"
 
@@ -53,4 +58,11 @@ SQL = {
         v as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as ws from eval_items where passage is not null),
         h as (select item_id, array_to_string(ws[i:i+11], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from v where len(ws) >= 12))
         select distinct doc_id, item_id from g join h using (g)""",
+    "p9_found": """
+        with w as (select doc_id, text, unnest(range(1, length(text) - 254)) as i from documents where length(text) >= 256),
+        h as (select doc_id, cast(i - 1 as int) as s, hash(substr(text, i, 256)) as h from w),
+        k as (select h from h group by h having min(doc_id) < max(doc_id)),
+        c as (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 256 then 0 else 1 end as new from h where h in (select h from k)),
+        g as (select doc_id, s, sum(new) over (partition by doc_id order by s) as g from c)
+        select doc_id, cast(min(s) as int) as start_at, cast(max(s) + 256 as int) as end_at from g group by doc_id, g""",
 }
