@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm.authored import not_authored
 from loomline.llm.conversations import clock_offsets, conversations
 from loomline.llm.encoding import encode_corpus
 from loomline.llm.leakage import leaked
@@ -11,6 +12,11 @@ from loomline.llm.spans import shared_stretches
 from loomline.runtime import read_table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = not_authored(read_table(spark, folder, "messages"))
+    return found.select("row_no", found["line_no"].cast("int").alias("line_no"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(read_table(spark, folder, "messages")).select("thread_id", "turn_no", "row_no")
 
@@ -31,7 +37,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_stretches(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_clock_offsets, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_clock_offsets, p7_ids, p8_found, p9_found)}
 
 _BARE = r"nullif(regexp_replace({0}, '^[\s<>]+|[\s<>]+$', '', 'g'), '')"
 
