@@ -8,6 +8,7 @@ from loomline.llm.authored import not_authored
 from loomline.llm.conversations import clock_offsets, conversations
 from loomline.llm.encoding import encode_corpus
 from loomline.llm.leakage import leaked
+from loomline.llm.linkage import repeated_postings
 from loomline.llm.names import same_organisation
 from loomline.llm.spans import shared_stretches
 from loomline.runtime import read_table
@@ -18,6 +19,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row_no", found["line_no"].cast("int").alias("line_no"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_postings(read_table(spark, folder, "postings"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     typed = [read_table(spark, folder, t) for t in ("postings", "applications", "contacts")]
     return same_organisation(typed, read_table(spark, folder, "aliases"))
@@ -43,7 +48,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_stretches(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_clock_offsets, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_clock_offsets, p7_ids, p8_found, p9_found)}
 
 _BARE = r"nullif(regexp_replace({0}, '^[\s<>]+|[\s<>]+$', '', 'g'), '')"
 
