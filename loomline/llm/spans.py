@@ -79,7 +79,7 @@ def _anchors(texts: list[str | None], span: int, gram: int) -> Iterator[tuple[np
         yield np.array(held)[text], first - begin, last - begin, least[first].view(np.int64), whole.view(np.int64)
 
 
-def shared_stretches(documents: DataFrame, span: int = 256, gram: int = 32) -> DataFrame:
+def shared_stretches(documents: DataFrame, span: int = 256, gram: int = 128) -> DataFrame:
     """Each longest stretch (doc_id, start_at, end_at) covered by spans of ``span`` characters that another document has too.
 
     Every window of ``span`` characters is anchored at its gram of smallest
@@ -90,7 +90,9 @@ def shared_stretches(documents: DataFrame, span: int = 256, gram: int = 32) -> D
     single windows hashed, by one document for each different unit, and
     grouped the same way.  Groups are reduced to the smallest and largest
     doc_id before any shuffle, so a passage in a third of all documents costs
-    one row per task, and no pairs of documents are formed.
+    one row per task, and no pairs of documents are formed.  A longer
+    ``gram`` means more anchors, but fewer that texts of one template share
+    without sharing a span; half the span is the default.
 
     Equality is that of 64-bit digests of the characters within equal 64-bit
     anchors.  Null and shorter texts have no stretch; a span repeated in one
