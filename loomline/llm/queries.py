@@ -10,6 +10,7 @@ from loomline.llm.encoding import encode_corpus
 from loomline.llm.leakage import leaked
 from loomline.llm.linkage import repeated_postings
 from loomline.llm.names import same_organisation
+from loomline.llm.pii import personal_spans
 from loomline.llm.spans import shared_stretches
 from loomline.runtime import read_table
 
@@ -36,6 +37,12 @@ def p5_clock_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return clock_offsets(read_table(spark, folder, "messages"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    mail, evidence = read_table(spark, folder, "messages"), read_table(spark, folder, "evidence")
+    parts = [personal_spans(mail, "body", "row_no", "body"), personal_spans(mail, "snippet", "row_no", "snippet"), personal_spans(evidence, "quote", "evidence_id", "quote")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(read_table(spark, folder, "documents"))
 
@@ -48,7 +55,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_stretches(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_clock_offsets, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_clock_offsets, p6_found, p7_ids, p8_found, p9_found)}
 
 _BARE = r"nullif(regexp_replace({0}, '^[\s<>]+|[\s<>]+$', '', 'g'), '')"
 
