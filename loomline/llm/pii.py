@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -32,8 +31,11 @@ MONTH_BEFORE = frozenset("in from since until by of during next last early late
 _G = r"(?:[  ]|[ \t]?\r?\n[>| \t]*)"
 _CITY = rf"(?:(?:Port|Lower|Upper|San|Santa|Sundry|New|Saint|North|South|East|West|Great|Mount|Lake|Fort){_G}[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ][\w'’-]+{_G}(?:City|Falls|Springs|Beach)\b|[A-ZÀ-Þ][\w'’-]+)"
 _WORDS = rf"(?:[A-ZÀ-Þ][\w'’-]*\.?{_G}){{1,4}}"
-_EMAIL = re.compile(rf"[\w.+-]*\w(?:@|{_G}?[(\[](?:at|AT)[)\]]{_G}?|{_G}AT{_G})[\w-]+(?:(?:\.|{_G}?[(\[](?:dot|DOT)[)\]]{_G}?|{_G}DOT{_G})\w[\w-]*)+")
-_HAS_AT = re.compile(r"@|[(\[](?:at|AT)[)\]]|\sAT\s")
+_SIGN_AT, _TOLD_AT = re.compile("@"), re.compile(r"[(\[](?:at|AT)[)\]]|(?<=\s)AT(?=\s)")
+_TOLD = ("AT", "(at)", "[at]")
+_LOCAL = re.compile(rf"[\w.+-]*\w(?={_G}?$)")
+_GAP = re.compile(_G)
+_DOMAIN = re.compile(rf"[\w-]+(?:(?:\.|{_G}?[(\[](?:dot|DOT)[)\]]{_G}?|{_G}DOT{_G})\w[\w-]*)+")
 _PHONE = re.compile(
     rf"(?<![\w+/$-])(?<!\d\.)(?:(?P<intl>\+\d{{1,3}}(?:(?:{_G}|[.-])?\(?\d{{1,5}}\)?){{1,5}})|(?P<zero>00\d{{1,3}}{_G}?\(0\){_G}?\d{{2,5}}(?:{_G}\d{{2,4}}){{1,3}})|(?P<trunk>0\d{{2,4}}{_G}\d{{3,4}}{_G}\d{{3,4}})"
     rf"|(?P<paren>\(\d{{3}}\){_G}?\d{{3}}[.-]\d{{4}})|(?P<plain>\d{{3}}(?:(?:-\d{{3}}-)|(?:\.\d{{3}}\.)|(?:{_G}\d{{3}}{_G}))\d{{4}}))(?:,?{_G}?(?:ext\.?|x|extension){_G}?\d{{1,5}})?(?![\w-]|\.\d)"
@@ -46,30 +48,49 @@ _ADDRESS = re.compile(
     rf"(?<![\w$.-])(?:(?P<box>P\.?{_G}?O\.?{_G}Box{_G}\d+,{_G}{_CITY})"
     rf"|(?P<anglo>(?:(?:Flat|Apt\.?|Unit|Suite){_G}\w+,{_G})?\d{{1,5}}[A-Za-z]?{_G}{_WORDS}{_STREET}(?:,{_G}(?:Apt\.?|Flat|Unit|Suite){_G}\w+)?,{_G}{_CITY}(?:,?{_G}(?:[A-Z]{{2}}{_G}\d{{5}}|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_G}\d[A-Z]{{2}}))?)"
     rf"|(?P<french>\d{{1,4}},?{_G}(?:rue|avenue|boulevard|place|quai|chemin){_G}(?:(?:de{_G}la|du|des|de|d['’]){_G}?)?{_WORDS[:-5]}{{0,3}}[A-ZÀ-Þ][\w'’-]*,{_G}\d{{5}}{_G}{_CITY})"
-    rf"|(?P<german>(?:[A-ZÀ-Þ][\w'’-]*\.?{_G}){{1,4}}(?:Gasse|Weg|Allee|Straße|Strasse|Platz|Ring|Ufer){_G}\d{{1,4}}\w?,{_G}\d{{5}}{_G}{_CITY}))(?!\w)"
+    rf")(?!\w)"
+)
+_STREET_LAST = ("Gasse", "Weg", "Allee", "Straße", "Strasse", "Platz", "Ring", "Ufer")
+_GERMAN = re.compile(
+    rf"(?<![\w$.-])(?:(?P<german>(?:[A-ZÀ-Þ][\w'’-]*\.?{_G}){{1,4}}(?:Gasse|Weg|Allee|Straße|Strasse|Platz|Ring|Ufer){_G}\d{{1,4}}\w?,{_G}\d{{5}}{_G}{_CITY}))(?!\w)"
 )
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
-_CAPITAL = re.compile(r"(?<![\w@./'’-])[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*")
+_CAPITAL = re.compile(r"(?<![\w@./'’-])[^\W\d_][\w'’-]*(?<!-)")
 _NEXT = re.compile(rf"(?P<dot>\.)?(?P<comma>,)?{_G}(?P<word>[^\W\d_](?:[\w'’]|-(?=\w))*)")
 _FAMILY = re.compile(rf"^(?:o['’]|mc)?[^\W\d_]{{2,}}?(?:{FAMILY})$")
 _PARTICLE = re.compile(rf"^(?:van(?:{_G}de[rn]?)?|von|de|del|della|di|da|dos|el|al|bin)$")
-_DIGIT = re.compile(r"\d{3}")
+_DIGIT = re.compile(r"\d\d")
+
+
+class _Classes(dict):
+    """G given name, S shaped as a family name, I initial, P particle, or nothing; of a word, remembered."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        kind = self[word] = self.of(word)
+        return kind
+
+    @staticmethod
+    def of(word: str) -> str:
+        low = word.lower()
+        if _PARTICLE.match(word) or low in ("van", "der", "den"):
+            return "P"
+        if len(word) == 1:
+            return "I" if word.isupper() else ""
+        if low in GIVEN:
+            return "G"
+        parts = low.split("-")
+        if low not in NOT_FAMILY and all(len(p) > 3 and _FAMILY.match(p) for p in parts) and word[0].isupper():
+            return "S"
+        return "G" if len(parts) == 2 and parts[0] in GIVEN and parts[1] in GIVEN else ""
+
+
+_CLASSES = _Classes()
 
 
-@lru_cache(200_000)
 def _class(word: str) -> str:
-    """G given name, S shaped as a family name, I initial, or nothing; of a capitalised word."""
-    low = word.lower()
-    if len(word) == 1:
-        return "I" if word.isupper() else ""
-    if low in GIVEN:
-        return "G"
-    parts = low.split("-")
-    if low not in NOT_FAMILY and all(len(p) > 3 and _FAMILY.match(p) for p in parts) and word[0].isupper():
-        return "S"
-    if len(parts) == 2 and parts[0] in GIVEN and parts[1] in GIVEN:
-        return "G"
-    return ""
+    return _CLASSES[word]
 
 
 #: Sequences of word classes that may be a name.
@@ -79,12 +100,12 @@ _SHAPES = frozenset({"G", "S", "GS", "GIS", "IS", "IIS", "GPS", "GIPS", "IPS", "
 def _names(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     for m in _CAPITAL.finditer(text):
         word = m.group()
-        kind = _class(word)
-        if not kind and not _PARTICLE.match(word):
+        kind = _CLASSES[word]
+        if not kind:
             continue
-        if not word[0].isupper() and not (kind == "G" and _alone(text, m.start(), m.end())):
+        if kind != "P" and not word[0].isupper() and not (kind == "G" and _alone(text, m.start(), m.end())):
             continue
-        shape, end, words = kind or "P", m.end(), [word]
+        shape, end, words = kind, m.end(), [word]
         if kind == "I" and text[end : end + 1] != ".":
             continue
         if shape in _SHAPES:
@@ -95,7 +116,7 @@ def _names(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
             if not n:
                 break
             nxt = n["word"]
-            part = "P" if _PARTICLE.match(nxt) or nxt.lower() in ("van", "der", "den") else _class(nxt)
+            part = _CLASSES[nxt]
             if not part or (part != "P" and not nxt[0].isupper()):
                 break
             if n["dot"] and shape[-1] != "I" or n["comma"] and "," in shape:
@@ -119,6 +140,7 @@ def _alone(text: str, start: int, end: int) -> bool:
     return not before.strip(" \t>|-–—") and not after.strip(" \t\r,!.")
 
 
+_LABEL = re.compile(r"([^\W\d_][\w'’&]*)[^\w]{0,12}$")
 _BEFORE = re.compile(r"([\w'’&]+)[^\w\n]{0,3}$|(^|\n)[>| \t-]*$")
 _AFTER = re.compile(r"^[  ]?(?:\r?\n)?[>| \t]*([\w'’]+)|^([,.!?:;)\]>|]|\s*$|\s*\r?\n)")
 
@@ -128,6 +150,12 @@ def _word_before(text: str, start: int) -> str:
     return ("^" if not m or m[1] is None else m[1].lower()) if start else "^"
 
 
+def _label(text: str, start: int) -> str:
+    """The word before a number, also over a line break."""
+    m = _LABEL.search(text[max(0, start - 24) : start])
+    return m[1].lower() if m else "^"
+
+
 def _word_after(text: str, end: int) -> str:
     m = _AFTER.match(text[end : end + 24])
     if not m:
@@ -140,18 +168,27 @@ def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
     out: list[tuple[int, int, str, tuple[str, ...]]] = []
     if "://" in text or "www." in text:
         out += [(m.start(), m.end(), "link", ("link",)) for m in _LINK.finditer(text)]
-    if _HAS_AT.search(text):
-        for m in _EMAIL.finditer(text):
-            out.append((m.start(), m.end(), "email", ("email", "email:" + ("plain" if "@" in m.group() else "told"))))
+    # the sign in the middle is rare, so both sides are read from there
+    signs = [*_SIGN_AT.finditer(text)]
+    if any(x in text for x in _TOLD):
+        signs += _TOLD_AT.finditer(text)
+    for m in signs:
+        plain, low = m.group() == "@", max(0, m.start() - 80)
+        gap = None if plain else _GAP.match(text, m.end())
+        domain = _DOMAIN.match(text, gap.end() if gap else m.end())
+        local = domain and _LOCAL.search(text[low : m.start()])
+        if local and (not plain or low + local.end() == m.start()):
+            out.append((low + local.start(), domain.end(), "email", ("email", "email:" + ("plain" if plain else "told"))))
     if _DIGIT.search(text):
         for pattern, kind in ((_PHONE, "phone"), (_ID, "id_number")):
             for m in pattern.finditer(text):
                 form, digits = m.lastgroup, sum(map(str.isdigit, m.group()))
                 size = "few" if digits < 7 else "many" if digits > 20 else "fit"
-                out.append((m.start(), m.end(), kind, (kind, f"{kind}:{form}:{size}", f"{kind}<{_word_before(text, m.start())}")))
+                out.append((m.start(), m.end(), kind, (kind, f"{kind}:{form}:{size}", f"{kind}<{_label(text, m.start())}")))
     if "," in text:
-        for m in _ADDRESS.finditer(text):
-            out.append((m.start(), m.end(), "address", ("address", f"address:{m.lastgroup}")))
+        for pattern in (_ADDRESS, _GERMAN) if any(x in text for x in _STREET_LAST) else (_ADDRESS,):
+            for m in pattern.finditer(text):
+                out.append((m.start(), m.end(), "address", ("address", f"address:{m.lastgroup}")))
     for start, end, shape, words in _names(text):
         before, after = _word_before(text, start), _word_after(text, end)
         low = words[0].lower()
