@@ -2,6 +2,6 @@
 
 
 def query_sets() -> list:
-    from loomline.plans import core
+    from loomline.plans import core, scalars
 
-    return [core]
+    return [core, scalars]
