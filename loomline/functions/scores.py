@@ -15,11 +15,11 @@ def recency(age: Column, half_life: float = HALF_LIFE) -> Column:
 
 
 def composite(fit: Column, likelihood: Column, fresh: Column, weights: tuple[float, float, float] = (FIT, LIKELIHOOD, RECENCY)) -> Column:
-    """Merit of fit and likelihood, of which staleness takes away at most the weight of recency; two decimals."""
+    """Merit of fit and likelihood, of which staleness takes away at most the weight of recency; two decimals, halves up."""
     total = sum(weights)
     f, k, r = (w / total for w in weights) if total > 0 else (FIT, LIKELIHOOD, RECENCY)
     merit = (f * F.coalesce(fit, F.lit(0)) + k * F.coalesce(likelihood, F.lit(0))) / (f + k)
-    return F.round(merit * ((1 - r) + r * fresh / 100.0), 2)
+    return F.floor(merit * ((1 - r) + r * fresh / 100.0) * 100.0 + 0.5) / 100.0
 
 
 def with_percentile(df: DataFrame, value: str, to: str = "percentile") -> DataFrame:

@@ -2,6 +2,6 @@
 
 
 def query_sets() -> list:
-    from loomline.plans import core, scalars
+    from loomline.plans import core, relations, scalars
 
-    return [core, scalars]
+    return [core, scalars, relations]
