@@ -54,8 +54,12 @@ _STREET_LAST = ("Gasse", "Weg", "Allee", "Straße", "Strasse", "Platz", "Ring",
 _GERMAN = re.compile(
     rf"(?<![\w$.-])(?:(?P<german>(?:[A-ZÀ-Þ][\w'’-]*\.?{_G}){{1,4}}(?:Gasse|Weg|Allee|Straße|Strasse|Platz|Ring|Ufer){_G}\d{{1,4}}\w?,{_G}\d{{5}}{_G}{_CITY}))(?!\w)"
 )
+# where a number of some length stands, one or two letters before it included
+_NUMBER = re.compile(r"[+(\d][\d() .\-+ \t\r\n>|]{6,}")
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
-_CAPITAL = re.compile(r"(?<![\w@./'’-])[^\W\d_][\w'’-]*(?<!-)")
+_CAPITAL = re.compile(r"(?:[A-Z\u00C0-\u00DE\u0100-\u024F]|v(?=[ao]n\s))[\w'’-]*(?<!-)")
+_NO_NAME_BEFORE = frozenset("@./'’-_")
+_LONE = re.compile(r"\n[>| \t–—-]*([^\W\d_][\w'’-]{1,24})(?=[,!.]*[ \t\r]*(?:\n|$))")
 _NEXT = re.compile(rf"(?P<dot>\.)?(?P<comma>,)?{_G}(?P<word>[^\W\d_](?:[\w'’]|-(?=\w))*)")
 _FAMILY = re.compile(rf"^(?:o['’]|mc)?[^\W\d_]{{2,}}?(?:{FAMILY})$")
 _PARTICLE = re.compile(rf"^(?:van(?:{_G}de[rn]?)?|von|de|del|della|di|da|dos|el|al|bin)$")
@@ -98,12 +102,19 @@ _SHAPES = frozenset({"G", "S", "GS", "GIS", "IS", "IIS", "GPS", "GIPS", "IPS", "
 
 
 def _names(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+    # names in small letters stand alone on their line
+    for m in _LONE.finditer("\n" + text):
+        if not m[1][0].isupper() and _CLASSES[m[1]] == "G":
+            yield m.start(1) - 1, m.end(1) - 1, "G", [m[1]]
     for m in _CAPITAL.finditer(text):
         word = m.group()
         kind = _CLASSES[word]
         if not kind:
             continue
-        if kind != "P" and not word[0].isupper() and not (kind == "G" and _alone(text, m.start(), m.end())):
+        before = text[m.start() - 1] if m.start() else " "
+        if before.isalnum() or before in _NO_NAME_BEFORE:
+            continue
+        if kind != "P" and not word[0].isupper():
             continue
         shape, end, words = kind, m.end(), [word]
         if kind == "I" and text[end : end + 1] != ".":
@@ -124,6 +135,9 @@ def _names(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
             if part == "I" and text[n.end() : n.end() + 1] != ".":
                 break
             if n["comma"]:
+                # "Dear Ann van der Lee,⏎Will it …" is no "Lee, Will"
+                if "\n" in n.group() and _CLASSES[_word_before(text, m.start()).capitalize()] == "G":
+                    break
                 shape += ","
             if not (part == "P" and shape[-1] == "P"):
                 shape += part
@@ -163,6 +177,19 @@ def _word_after(text: str, end: int) -> str:
     return m[1].lower() if m[1] else ("$" if not m[2].strip() else m[2])
 
 
+def _within(pattern: re.Pattern, text: str, spots: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """Matches that begin in one of some stretches, or up to three characters before it."""
+    done = 0
+    for start, end in spots:
+        at = max(done, start - 3)
+        while m := pattern.search(text, at, end):
+            # the stretch may end within it, so it is read again without one
+            whole = pattern.match(text, m.start())
+            if whole:
+                yield whole
+            done = at = whole.end() if whole else m.start() + 1
+
+
 def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
     """Candidate spans with their kind and features of the whole span."""
     out: list[tuple[int, int, str, tuple[str, ...]]] = []
@@ -180,8 +207,9 @@ def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         if local and (not plain or low + local.end() == m.start()):
             out.append((low + local.start(), domain.end(), "email", ("email", "email:" + ("plain" if plain else "told"))))
     if _DIGIT.search(text):
+        spots = [(m.start(), m.end() + 24) for m in _NUMBER.finditer(text)]
         for pattern, kind in ((_PHONE, "phone"), (_ID, "id_number")):
-            for m in pattern.finditer(text):
+            for m in _within(pattern, text, spots):
                 form, digits = m.lastgroup, sum(map(str.isdigit, m.group()))
                 size = "few" if digits < 7 else "many" if digits > 20 else "fit"
                 out.append((m.start(), m.end(), kind, (kind, f"{kind}:{form}:{size}", f"{kind}<{_label(text, m.start())}")))
