@@ -2,6 +2,6 @@
 
 
 def query_sets() -> list:
-    from loomline.plans import core, relations, scalars
+    from loomline.plans import core, payloads, relations, scalars
 
-    return [core, scalars, relations]
+    return [core, scalars, relations, payloads]
