@@ -57,10 +57,16 @@ def deduplicated(postings: DataFrame, id_column: str, pair: list[str], order: st
 
 
 def best_per_key(df: DataFrame, key: str, order: list[Column], keep: int = 1) -> DataFrame:
-    """The best ``keep`` rows of each key, the leader with the number of those held back (``also``)."""
-    own = Window.partitionBy(key)
-    ranked = df.withColumn("ll_rank", F.row_number().over(own.orderBy(*order))).withColumn("ll_n", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("ll_rank") <= keep).withColumn("also", F.when(F.col("ll_rank") == 1, F.greatest(F.lit(0), F.col("ll_n") - keep)).otherwise(0).cast("int")).drop("ll_rank", "ll_n")
+    """The best ``keep`` rows of each key, the leader with the number of those held back (``also``).
+
+    The rank is limited before the shuffle, task by task, and rows are
+    counted by an aggregate, so a key with a third of all rows brings
+    ``keep`` rows and one count per task.
+    """
+    ranked = df.withColumn("ll_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("ll_rank") <= keep)
+    counts = df.groupBy(F.col(key).alias("ll_key")).agg(F.count(F.lit(1)).alias("ll_n"))
+    held = F.when(F.col("ll_rank") == 1, F.greatest(F.lit(0), F.col("ll_n") - keep)).otherwise(0).cast("int")
+    return ranked.join(counts, F.col(key).eqNullSafe(F.col("ll_key"))).withColumn("also", held).drop("ll_rank", "ll_n", "ll_key")
 
 
 def scored(postings: DataFrame, today: str) -> DataFrame:

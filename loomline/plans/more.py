@@ -122,10 +122,10 @@ def w01_recency(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "postings").select("pos", F.round(scores.recency(age), 6).alias("recency"))
 
 
-def w05_rank_in_source(spark: SparkSession, folder: str) -> DataFrame:
-    rows = records.scored(read_table(spark, folder, "postings"), TODAY).withColumn("batch", F.coalesce("batch_no", F.lit(-1)))
-    own = Window.partitionBy("batch").orderBy(F.desc("composite"), F.lower(keys.text("company")), "pos")
-    return rows.select("pos", F.row_number().over(own).alias("place"))
+def w05_scored_order(spark: SparkSession, folder: str) -> DataFrame:
+    """All postings best first: one sort by ranges, no task with all rows."""
+    rows = records.scored(read_table(spark, folder, "postings"), TODAY)
+    return rows.orderBy(F.desc("composite"), F.lower(keys.text("company")), "pos").select("pos", "composite")
 
 
 def l10_latest_applications(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,7 +184,7 @@ SQL = {
     "a18_baseline": f"with p as (select pos, batch_no, composite, {_ID} as id from {_SCORED}) select pos, composite from p where batch_no = 0 and composite > 0 and id not in (select id from p where batch_no > 0)",
     "a19_silent_employers": f"select distinct {_C} as company_key from applications where {_C} <> '' and {_C} not in (select {_C} from postings)",
     "w01_recency": f"select pos, round(r, 6) as recency from {_SCORED}",
-    "w05_rank_in_source": f"select pos, cast(row_number() over (partition by coalesce(batch_no, -1) order by composite desc, lower(coalesce(company, '')), pos) as int) as place from {_SCORED}",
+    "w05_scored_order": f"select pos, composite from {_SCORED} order by composite desc, lower(coalesce(company, '')), pos",
     "l10_latest_applications": f"select application_id, coalesce({sql_date('last_heard')}, {sql_date('applied')}) as last_on from applications order by last_on desc nulls last, application_id limit 40",
     "u08_partition": f"with {_KEPT} select p.pos, case when kept.pos is null then 'duplicate' when {sql_date('p.posted')} is null then 'undated' else 'kept' end as part from p left join kept on p.pos = kept.pos",
 }

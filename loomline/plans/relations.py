@@ -39,9 +39,9 @@ def f09_title_gate(spark: SparkSession, folder: str) -> DataFrame:
 def f16_narrow_board(spark: SparkSession, folder: str) -> DataFrame:
     wanted = ["data", "software", "engineer", "developer", "analyst"]
     rows = read_table(spark, folder, "postings").select("pos", keys.company_key("company").alias("company_key"), wording.title_relevance("title", wanted).alias("relevance")).where("relevance > 0")
-    own = Window.partitionBy("company_key")
-    ranked = rows.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("r", F.row_number().over(own.orderBy(F.desc("relevance"), "pos")))
-    return ranked.where("n <= 8 or r <= 25").select("pos", "company_key", F.round("relevance", 4).alias("relevance"))
+    # a small board is kept whole by the same limit
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("company_key").orderBy(F.desc("relevance"), "pos")))
+    return ranked.where("r <= 25").select("pos", "company_key", F.round("relevance", 4).alias("relevance"))
 
 
 def f19_within_years(spark: SparkSession, folder: str) -> DataFrame:
