@@ -231,7 +231,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({**{k: cols[k] for k in ("row_no", "thread", "mid", "said", "at", "sender")}, **out}, schema=_TYPES)
 
 
-def not_authored(messages: DataFrame, min_run: int = 2, min_words: int = 10, min_repeats: int = 2) -> DataFrame:
+def not_authored(messages: DataFrame, min_run: int = 2, min_words: int = 10) -> DataFrame:
     """Each line (row_no, line_no) of a body that is not blank and not newly written by its sender.
 
     Lines are exploded and normalised with the marks of mail programs read
@@ -239,7 +239,7 @@ def not_authored(messages: DataFrame, min_run: int = 2, min_words: int = 10, min
     ranked by date in its thread: a run of at least ``min_run`` sentences and
     ``min_words`` words that another message of the thread wrote first, in
     the same order, is earlier mail although unmarked.  Short last lines that
-    the sender repeats in ``min_repeats`` messages or more are signatures.
+    the sender repeats in another message are signatures.
 
     Deliveries of one identifier, and rows of equal body, are one message to
     both tests, so repeated rows do not make each other old.  Rows whose body is null or blank, or
@@ -262,7 +262,7 @@ def not_authored(messages: DataFrame, min_run: int = 2, min_words: int = 10, min
     marked = parsed.select("row_no", F.explode("old").alias("line_no"))
 
     tails = parsed.where("sender is not null").select("row_no", "mid", F.xxhash64("sender").alias("s"), F.explode("tails").alias("t")).select("row_no", "mid", F.xxhash64("s", "t.h").alias("key"), F.col("t.line").alias("line_no"))
-    repeats = tails.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("mid").alias("in_mails")).where(F.col("in_mails") >= min_repeats)
+    repeats = tails.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("m0"), F.max("mid").alias("m1")).where("m0 != m1").select("key", "n")
     signed = join_key_facts(tails, repeats, "key", "n").select("row_no", "line_no")
 
     units = parsed.where("thread is not null").select("row_no", "mid", "said", "at", "thread", F.posexplode("units").alias("idx", "u")).select(

@@ -117,7 +117,8 @@ def read_name(name: str) -> tuple[str, str, str, list[str]]:
         if tails:
             text = f"{tail} {head}"
             front = fold(tail)
-    spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text) if not front else text
+    # "ZedhamGalcoza" is two words; "GmbH" or a slip such as "rGoup" is one
+    spaced = re.sub(r"(?<=[a-z]{3})(?=[A-Z][a-z]{2})", " ", text) if not front else text
     words = [w for w in fold(spaced).split() if w not in STOP]
     while len(words) > 1 and words[-1] in LEGAL:
         words.pop()
