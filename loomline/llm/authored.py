@@ -23,11 +23,11 @@ CLOSINGS = (
 NOTICES = (
     r"we monitor mail for quality and for the law\. no contract is formed by this message\.",
     r"registered office: .{5,120}\. registered number \d+\.",
-    r"confidential: .{10,300}",
+    r"confidential: .{10,200}\b(?:not allowed|prohibited|forbidden)\b.{0,40}",
     r"ce message est confidentiel\b.{5,200}",
-    r"diese nachricht ist vertraulich\b.{5,200}",
+    r"diese nachricht ist vertraulich\b.{5,150}\b(?:löschen|vernichten)\b.{0,40}",
     r"este mensaje es confidencial\b.{5,200}",
-    r"this e-?mail and any (?:files|attachments)\b.{5,300}",
+    r"this e-?mail and any (?:files|attachments)\b.{5,250}\b(?:delete|destroy|notify)\b.{0,80}",
     r"von meinem .{2,40} gesendet",
     r"envoyé depuis .{2,40}",
     r"enviado desde .{2,40}",
@@ -54,6 +54,8 @@ _INTRO = re.compile(
 _INTRO_HEAD = re.compile(r"(?i)^(?:on \w{3,9},? .*\d|el \d|le \d|am \d|quoting ).*[^.:?!]$")
 _SIGN = re.compile(r"^(?:- |– |— )?[^\W\d_][\w'’.-]*(?: [\w'’.-]+){0,4}$")
 _SALUTATION = re.compile(r"(?i)^(?:(?:hi|hello|hey|dear|good (?:morning|afternoon|evening)|hallo|guten tag|bonjour|hola|buenos días|estimado/a|cher|chère|liebe|lieber|sehr geehrte\w*)\b[^.?]{0,60}|[^\W\d_][\w'’-]+(?: [\w'’-]+){0,3},)[,!]?$")
+_CONTACT = re.compile(r"(?i)\bp\.? ?o\.? box|@|\||\d{4}")
+_TWO_SENTENCES = re.compile(r"[a-z]{2}[.?!] [A-Z¿¡]")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _WORD = re.compile(r"\w+")
 
@@ -148,17 +150,17 @@ def classify(body: str) -> list[int]:
         text = lines[i].strip()
         if POSTSCRIPT.match(text + " "):
             closing = False
-        elif _CLOSING.match(text) or _RULE.match(text) or (text[:2] in ("- ", "– ", "— ") and _SIGN.match(text) and len(text.split()) <= 5 and (i + 1 >= n or kind[i + 1] != PLAIN)):
+        elif _CLOSING.match(text) and (text[0].isupper() or not i or kind[i - 1] != PLAIN) or _RULE.match(text) or (text[:2] in ("- ", "– ", "— ") and _SIGN.match(text) and len(text.split()) <= 5 and (i + 1 >= n or kind[i + 1] != PLAIN)):
             closing = True
             kind[i] = OLD
         elif closing:
-            # a whole sentence or a salutation after a signature begins another text
-            blank_before = i and kind[i - 1] == BLANK
-            if _SALUTATION.match(text) and blank_before and i + 1 < n and len(text.split()) > 1:
-                closing = False
-            elif len(text.split()) >= 5 and text[-1] in ".?!" and not re.search(r"(?i)\bp\.? ?o\.? box|@|\d{4}", text):
-                closing = False
-            elif len(text) > 75:
+            # a salutation, a whole sentence or a long line after a signature begins another text
+            words, blank_before = len(text.split()), i and kind[i - 1] == BLANK
+            greets = _SALUTATION.match(text) and blank_before and i + 1 < n and (words > 1 or text[-1] == ",")
+            contact = _CONTACT.search(text)
+            told = "@" not in text and "|" not in text and (words >= 5 and text[-1] in ".?!" or _TWO_SENTENCES.search(text))
+            speaks = told or not contact and (words >= 6 and blank_before or len(text) > 75)
+            if greets or speaks:
                 closing = False
             else:
                 kind[i] = OLD
