@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomline.llm.winnowing import window_minima
 from loomline.runtime import cut, ship
@@ -120,7 +121,7 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = 12, gram: int = 6
                 rows = sorted(pairs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([o for o, _ in rows], pa.int64())), pa.array([i for _, i in rows], out_item)], ["doc_id", "item_id"])
 
-        out_item = pa.int64() if item_type == "bigint" else pa.int32()
+        out_item = to_arrow_type(tests.schema["item_id"].dataType)
         return docs.mapInArrow(find, f"doc_id {doc_type}, item_id {item_type}").distinct()
 
     ours = docs.mapInArrow(prints_of, f"key {doc_type}, place int, h bigint").select(F.col("key").alias("doc_id"), "h", F.col("place").alias("at"))
