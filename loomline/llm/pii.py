@@ -54,8 +54,10 @@ _STREET_LAST = ("Gasse", "Weg", "Allee", "Straße", "Strasse", "Platz", "Ring",
 _GERMAN = re.compile(
     rf"(?<![\w$.-])(?:(?P<german>(?:[A-ZÀ-Þ][\w'’-]*\.?{_G}){{1,4}}(?:Gasse|Weg|Allee|Straße|Strasse|Platz|Ring|Ufer){_G}\d{{1,4}}\w?,{_G}\d{{5}}{_G}{_CITY}))(?!\w)"
 )
-# where a number of some length stands, one or two letters before it included
-_NUMBER = re.compile(r"[+(\d][\d() .\-+ \t\r\n>|]{6,}")
+# runs of digits with every separator that _PHONE and _ID allow between two of them, and what they allow after the last
+_SEPARATORS = "() \u00a0\t\r\n>|.+-"
+_NUMBER = re.compile(r"\d[() \u00a0\t\r\n>|.+\-\d]*\d")
+_NUMBER_END = re.compile(rf"(?:,?{_G}?(?:extension|ext\.?|x){_G}?\d{{1,5}}|{_G}?[A-D])?")
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
 _CAPITAL = re.compile(r"(?:[A-Z\u00C0-\u00DE\u0100-\u024F]|v(?=[ao]n\s))[\w'’-]*(?<!-)")
 _NO_NAME_BEFORE = frozenset("@./'’-_")
@@ -63,7 +65,6 @@ _LONE = re.compile(r"\n[>| \t–—-]*([^\W\d_][\w'’-]{1,24})(?=[,!.]*[ \t\r]*
 _NEXT = re.compile(rf"(?P<dot>\.)?(?P<comma>,)?{_G}(?P<word>[^\W\d_](?:[\w'’]|-(?=\w))*)")
 _FAMILY = re.compile(rf"^(?:o['’]|mc)?[^\W\d_]{{2,}}?(?:{FAMILY})$")
 _PARTICLE = re.compile(rf"^(?:van(?:{_G}de[rn]?)?|von|de|del|della|di|da|dos|el|al|bin)$")
-_DIGIT = re.compile(r"\d\d")
 
 
 class _Classes(dict):
@@ -177,11 +178,29 @@ def _word_after(text: str, end: int) -> str:
     return m[1].lower() if m[1] else ("$" if not m[2].strip() else m[2])
 
 
+def _spots(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches within which every match of _PHONE and _ID lies.
+
+    The digits of a match, but for an extension's, stand in one run of
+    _NUMBER.  Only the form with a plus right before a digit may have fewer
+    than six.  Before the first digit stand separators and at most two
+    capitals, after the last what _NUMBER_END takes.
+    """
+    for m in _NUMBER.finditer(text):
+        start, end = m.span()
+        if end - start < 6 and text[start - 1 : start] != "+" and "+" not in m.group():
+            continue
+        while start and text[start - 1] in _SEPARATORS:
+            start -= 1
+        # two more characters, for what must not follow
+        yield max(0, start - 2), _NUMBER_END.match(text, end).end() + 2
+
+
 def _within(pattern: re.Pattern, text: str, spots: list[tuple[int, int]]) -> Iterator[re.Match]:
-    """Matches that begin in one of some stretches, or up to three characters before it."""
+    """Matches that begin in one of some stretches."""
     done = 0
     for start, end in spots:
-        at = max(done, start - 3)
+        at = max(done, start)
         while m := pattern.search(text, at, end):
             # the stretch may end within it, so it is read again without one
             whole = pattern.match(text, m.start())
@@ -206,8 +225,7 @@ def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         local = domain and _LOCAL.search(text[low : m.start()])
         if local and (not plain or low + local.end() == m.start()):
             out.append((low + local.start(), domain.end(), "email", ("email", "email:" + ("plain" if plain else "told"))))
-    if _DIGIT.search(text):
-        spots = [(m.start(), m.end() + 24) for m in _NUMBER.finditer(text)]
+    if spots := list(_spots(text)):
         for pattern, kind in ((_PHONE, "phone"), (_ID, "id_number")):
             for m in _within(pattern, text, spots):
                 form, digits = m.lastgroup, sum(map(str.isdigit, m.group()))

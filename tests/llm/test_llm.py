@@ -279,6 +279,21 @@ def test_best_equals_brute_force():
     assert checked > 50
 
 
+def test_numbers_in_short_forms():
+    for said, kind in (("QQ334420C", "id_number"), ("QQ\u00a033 44\u00a020 C", "id_number"), ("XG605076", "id_number"), ("940\u00a059\u00a03439", "id_number"), ("020\u00a07946\u00a00108", "phone"), ("+44\u00a01632\u00a0960658", "phone")):
+        for before, after in (("", ""), ("passport: ", ", as asked"), ("It is ", " now."), ("It is\n> ", "\nnow")):
+            assert (len(before), len(before) + len(said), kind) in pii.field().spans(before + said + after)
+
+
+def test_spots_of_numbers_lose_no_match():
+    r = random.Random(8)
+    parts = ["+", "(", ")", " ", "\u00a0", "\n> ", "\r\n|", ".", "-", "0", "00", "12", "345", "6", "QQ", "X", "A", "C", "x", "ext. ", "extension ", ",", "a", "\t", "(0)", "7946", "+44", "020", "K"]
+    for _ in range(40_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 16)))
+        for pattern in (pii._PHONE, pii._ID):
+            assert [m.span() for m in pii._within(pattern, text, list(pii._spots(text)))] == [m.span() for m in pattern.finditer(text)]
+
+
 def test_personal_spans(spark):
     text = "Hi Rasheed,\nring +44 1632 960287 or write to ann.lee(at)post.example. Ticket 555-18-1671 is open. Mark Monday in the diary."
     df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "a" * 20000, "x"), (1, text, "x")], "row_no bigint, body string, kind string")
