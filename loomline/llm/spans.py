@@ -88,7 +88,8 @@ def shared_stretches(documents: DataFrame, span: int = 256, gram: int = 128) ->
     that stands in another document too is shared as a whole.  Only where an
     anchor is common but units differ, at the borders of shared passages, are
     single windows hashed, by one document for each different unit, and
-    grouped the same way.  Groups are reduced to the smallest and largest
+    grouped the same way; each counts for the smallest and largest doc_id of
+    its unit.  Groups are reduced to the smallest and largest
     doc_id before any shuffle, so a passage in a third of all documents costs
     one row per task, and no pairs of documents are formed.  A longer
     ``gram`` means more anchors, but fewer that texts of one template share
@@ -113,29 +114,31 @@ def shared_stretches(documents: DataFrame, span: int = 256, gram: int = 128) ->
     classes = runs.groupBy("anchor", "unit").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
     groups = classes.groupBy("anchor").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.count(F.lit(1)).alias("n_units"), F.max(F.col("low") == F.col("high")).alias("border"))
     facts = join_key_facts(classes, groups.where("lowest < highest").drop("lowest", "highest"), "anchor", "n_units")
-    facts = facts.select("unit", "n", "low", (F.col("low") < F.col("high")).alias("everywhere"), "border")
+    facts = facts.select("unit", "n", "low", "high", (F.col("low") < F.col("high")).alias("everywhere"), "border")
     hits = cut(join_key_facts(runs.select("doc_id", "lo", "hi", "unit"), facts, "unit", "n"))
 
-    wanted = hits.where("border and doc_id = low").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi", F.col("everywhere"))).alias("runs"))
+    wanted = hits.where("border and doc_id = low").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi", "high")).alias("runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, runs_of = batch.column(0), batch.column(2).to_pylist()
             for held, chars, borders in _chunks(batch.column(1).to_pylist()):
                 rolling = RollingHash(chars)
-                rows = [(k, borders[k], r["lo"], r["hi"], r["everywhere"]) for k, i in enumerate(held) for r in runs_of[i]]
-                k, begin, lo, hi, full = (np.array(x) for x in zip(*rows))
+                rows = [(k, borders[k], r["lo"], r["hi"]) for k, i in enumerate(held) for r in runs_of[i]]
+                k, begin, lo, hi = (np.array(x) for x in zip(*rows))
+                high = pa.array([r["high"] for i in held for r in runs_of[i]], keys.type)
                 sizes = hi - lo + 1
                 start = np.repeat(lo, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 at = np.repeat(begin, sizes) + start
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(np.array(held)[np.repeat(k, sizes)])), pa.array(start.astype(np.int32)), pa.array(rolling.of(at, at + span).view(np.int64)), pa.array(np.repeat(full, sizes))],
-                    ["doc_id", "start_at", "digest", "everywhere"],
+                    [keys.take(pa.array(np.array(held)[np.repeat(k, sizes)])), pa.array(start.astype(np.int32)), pa.array(rolling.of(at, at + span).view(np.int64)), high.take(pa.array(np.repeat(np.arange(len(rows)), sizes)))],
+                    ["doc_id", "start_at", "digest", "high"],
                 )
 
-    single = cut(docs.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(windows, f"doc_id {kind}, start_at int, digest bigint, everywhere boolean"))
-    seen = single.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("digest", "n")
-    parts = join_key_facts(single.where("not everywhere").select("doc_id", "start_at", "digest"), seen, "digest", "n")
+    single = cut(docs.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(windows, f"doc_id {kind}, start_at int, digest bigint, high {kind}"))
+    # a window stands in all documents of its unit, not only in the one that digests it
+    seen = single.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("digest", "n")
+    parts = join_key_facts(single.where("doc_id = high").select("doc_id", "start_at", "digest"), seen, "digest", "n")
     covered = hits.where("everywhere").select("doc_id", F.col("lo").alias("start_at"), (F.col("hi") + span).alias("end_at")).unionAll(parts.select("doc_id", "start_at", (F.col("start_at") + span).alias("end_at")))
     return merged(covered)
 

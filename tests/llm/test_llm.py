@@ -135,6 +135,17 @@ def test_shared_stretches_against_brute_force(spark):
     assert spans.shared_stretches(df.limit(0), 40, 20).count() == 0
 
 
+def test_passage_twice_in_the_lowest_document(spark):
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefghij \n") for _ in range(n))
+    docs = []
+    for i, n in enumerate([40, 40, 45, 60, 90, 90, 120, 41]):
+        passage, x = text(n), text(7)
+        docs += [(2 * i, text(30) + passage + x + text(35) + passage + text(20)), (2 * i + 1, text(25) + passage + x + text(15))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {tuple(x) for x in spans.shared_stretches(df, span=40, gram=20).collect()} == _shared(docs, 40)
+
+
 # --- mail
 
 
