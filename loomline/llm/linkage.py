@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline.llm.namekeys import fold, within
-from loomline.llm.names import read_names, segment_join
+from loomline.llm.names import name_links, nodes_of, read_names, sole_word_links
 from loomline.operators.components import components
 from loomline.runtime import cut, ship
 
@@ -58,7 +58,7 @@ def _titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Accepted:
     """What is kept of all accepted postings; each a table in the shared folder.
 
-    names: name, node; nodes: node, core, sector, turned; reps: node, rep
+    names: name, node, sector, words; nodes: node, core, sector, turned; reps: node, rep
     (employers); openings: opening, words, node, mark; blocks: block, opening,
     word; clusters: opening, rep; first: rep, first_pos.
     """
@@ -106,14 +106,16 @@ def learn_weights(patterns: list[tuple[str, str, str, int]], rounds: int = 25) -
     return out
 
 
-def accept(postings: DataFrame, before: Accepted | None = None, k: int = 3, k_loose: int = 2, least: int = 8) -> tuple[Accepted, DataFrame]:
+def accept(postings: DataFrame, before: Accepted | None = None, aliases: DataFrame | None = None, k: int = 3, k_loose: int = 2, least: int = 8) -> tuple[Accepted, DataFrame]:
     """Accept a batch: the new state, and each posting of the batch that names an opening named by a smaller pos (first_pos, pos).
 
     Only employers, openings and blocking keys that the batch brings are
     looked up in the kept tables; earlier postings are not read.  Employers'
-    names link as in ``names.organisations``.  Openings are employer and
-    title words; openings of one employer whose words differ in one word meet
-    in the block of the other words, and each pair is scored by the
+    names link as in ``names.organisations``, entered ``aliases`` included; what
+    holds only while a name is unambiguous (equal cores with and without a
+    sector, names of one long word) is decided on what was accepted so far and
+    not withdrawn later.  Openings are employer and title words; openings of one employer whose words differ in one word meet
+    in the block of the other words (titles of one word in that of none), and each pair is scored by the
     comparison of title, company and address with learned weights.
     Representatives of employers and openings are united by a union-find over
     the links that the batch adds, and replaced where they changed.
@@ -128,30 +130,32 @@ def accept(postings: DataFrame, before: Accepted | None = None, k: int = 3, k_lo
     rows = cut(given.mapInArrow(_titles, "pos bigint, company string, mark string, words array<string>").where(F.size("words") > 0))
 
     # employers
-    names = rows.select(F.col("company").alias("name")).distinct()
+    names = rows.select(F.col("company").alias("name"))
+    entered = None if aliases is None else aliases.where("canonical is not null and spelling is not null").select("canonical", "spelling")
+    if entered is not None:
+        names = names.unionAll(entered.select("canonical")).unionAll(entered.select("spelling"))
+    names = names.distinct()
     if before is not None:
         names = names.join(before.names, "name", "left_anti")
-    read = cut(read_names(names).select("name", "core", "turned", "sector", F.concat_ws("|", "core", "sector").alias("node")))
-    fresh = read.groupBy("node").agg(F.first("core").alias("core"), F.first("sector").alias("sector"), F.collect_set("turned").alias("turned"))
-    if before is not None:
-        fresh = fresh.join(before.nodes, "node", "left_anti")
-    fresh = cut(fresh)
-    nodes = fresh if before is None else cut(before.nodes.unionByName(fresh))
-    probes = fresh.select("node", "sector", F.explode(F.array_distinct(F.concat(F.array("core"), "turned"))).alias("text")).where(F.length("text") >= least)
-    tight = segment_join(nodes.where("sector != ''").select("node", "core", "sector"), probes.where("sector != ''"), k, ["sector"], least)
-    loose = segment_join(nodes.select("node", "core"), probes.where("sector = ''").select("node", "text"), k_loose, [], least)
-    # fresh names with a sector meet kept ones without through these
-    turned = segment_join(nodes.where("sector = ''").select("node", "core"), probes.where("sector != ''").select("node", "text"), k_loose, [], least)
-    links = tight.unionAll(loose).unionAll(turned)
-    if before is not None:
+    read = cut(read_names(names).select("name", "core", "turned", "sector", "words", F.concat_ws("|", "core", "sector").alias("node")))
+    fresh, spelled = cut(nodes_of(read)), read.select("name", "node", "sector", "words")
+    all_names = spelled if before is None else cut(before.names.unionByName(spelled))
+    links = name_links(read, fresh, None if before is None else before.nodes, all_names, entered, k, k_loose, least)
+    if before is None:
+        nodes, base = fresh, fresh.select("node", F.col("node").alias("rep"))
+    else:
+        # a kept node may come with a further turned core
+        nodes = cut(before.nodes.unionByName(fresh).groupBy("node").agg(F.first("core").alias("core"), F.first("sector").alias("sector"), F.array_distinct(F.flatten(F.collect_list("turned"))).alias("turned")))
         links = _with_reps(_with_reps(links, before.reps, "a"), before.reps, "b")
-    merged = cut(components(links))
-    own = nodes.select("node").join(merged, "node", "left").select("node", F.coalesce("rep", "node").alias("rep")) if before is None else _with_reps(before.reps.unionByName(fresh.select("node", F.col("node").alias("rep"))), merged, "rep")
-    reps = cut(own.select("node", "rep"))
-    all_names = read.select("name", "node") if before is None else cut(before.names.unionByName(read.select("name", "node")))
+        base = before.reps.unionByName(fresh.select("node", F.col("node").alias("rep")).join(before.reps, "node", "left_anti"))
+    links = cut(links.where("a != b").distinct())
+    own = cut(_with_reps(base, components(links), "rep").select("node", "rep"))
+    owner = all_names.join(own, "node").select(F.col("rep").alias("org"), "node", "words")
+    merged = cut(components(links.unionAll(_with_reps(sole_word_links(owner), own, "a"))))
+    reps = cut(_with_reps(base, merged, "rep").select("node", "rep"))
 
     # openings
-    at = rows.join(all_names.withColumnRenamed("name", "company"), "company").join(reps, "node")
+    at = rows.join(all_names.select(F.col("name").alias("company"), "node"), "company").join(reps, "node")
     opening = F.xxhash64("rep", F.concat_ws(" ", "words"))
     keyed = cut(at.select("pos", opening.alias("opening"), "rep", "words", "node", "mark"))
     mine = keyed.groupBy("opening").agg(F.first("rep").alias("rep"), F.first("words").alias("words"), F.min("node").alias("node"), F.min("mark").alias("mark"), F.min("pos").alias("first_pos"))
@@ -166,7 +170,7 @@ def accept(postings: DataFrame, before: Accepted | None = None, k: int = 3, k_lo
     else:
         moved = None
         fresh_openings = openings = cut(mine.drop("first_pos"))
-    block = lambda t: t.select("opening", "node", "mark", F.explode(F.transform("words", lambda w: F.struct(w.alias("word"), F.xxhash64(F.col("rep"), F.concat_ws(" ", F.array_remove(F.col("words"), w))).alias("block")))).alias("x")).where(F.size("words") > 1).select("opening", "node", "mark", F.col("x.word").alias("word"), F.col("x.block").alias("block"))
+    block = lambda t: t.select("opening", "node", "mark", F.explode(F.transform("words", lambda w: F.struct(w.alias("word"), F.xxhash64(F.col("rep"), F.concat_ws(" ", F.array_remove(F.col("words"), w))).alias("block")))).alias("x")).select("opening", "node", "mark", F.col("x.word").alias("word"), F.col("x.block").alias("block"))
     new_blocks = block(fresh_openings)
     blocks = cut(new_blocks) if before is None else cut((before.blocks.join(moved.select(F.col("old").alias("opening")), "opening", "left_anti")).unionByName(new_blocks))
 
@@ -218,11 +222,11 @@ def accept(postings: DataFrame, before: Accepted | None = None, k: int = 3, k_lo
     return Accepted(cut(all_names) if before is None else all_names, nodes, reps, openings, blocks, clusters, firsts), found
 
 
-def repeated_postings(postings: DataFrame) -> DataFrame:
+def repeated_postings(postings: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """first_pos and pos of each posting that names an opening already named by a smaller pos.
 
     Batch 0 is accepted first; what came later is one delta against its state.
     """
-    state, at_start = accept(postings.where("coalesce(batch_no, 0) <= 0"))
-    _, later = accept(postings.where("batch_no > 0"), state)
+    state, at_start = accept(postings.where("coalesce(batch_no, 0) <= 0"), aliases=aliases)
+    _, later = accept(postings.where("batch_no > 0"), state, aliases)
     return at_start.unionAll(later)

@@ -62,6 +62,53 @@ def segment_join(nodes: DataFrame, probes: DataFrame, k: int, exact: list[str],
     return met.where(F.levenshtein("text", "other", 2 * k) >= 0).where(near("text", "other")).select("a", "b").distinct()
 
 
+def nodes_of(read: DataFrame) -> DataFrame:
+    """Of read names, each node once: node, core, sector, turned (all turned cores)."""
+    return read.groupBy("node").agg(F.first("core").alias("core"), F.first("sector").alias("sector"), F.collect_set("turned").alias("turned"))
+
+
+def name_links(new: DataFrame, fresh: DataFrame, kept: DataFrame | None, names: DataFrame, aliases: DataFrame | None, k: int, k_loose: int, least: int) -> DataFrame:
+    """Links (a, b) that names ``new`` (node, sector, words) with nodes ``fresh`` bring to the nodes ``kept`` and to each other.
+
+    ``names`` are all names, ``new`` ones included: name, node, sector, words.
+    A pair links or not whichever of the two came first: turned cores of
+    fresh nodes are looked up among all cores, fresh cores among turned cores
+    of kept nodes.  ``aliases`` (canonical, spelling) may repeat known ones.
+    """
+    nodes = fresh if kept is None else kept.unionByName(fresh).groupBy("node").agg(F.first("core").alias("core"), F.first("sector").alias("sector"))
+    forms = lambda t: t.select("node", "sector", F.explode(F.array_distinct(F.concat(F.array("core"), "turned"))).alias("text")).where(F.length("text") >= least)
+    # side 0: all forms of fresh nodes in all cores; side 1: cores of fresh nodes in all forms of kept ones
+    index, probes = nodes.select("node", "sector", "core", F.lit(0).alias("side")), forms(fresh).withColumn("side", F.lit(0))
+    bare_index, bare_probes = index, probes.where("sector = ''")
+    if kept is not None:
+        others = forms(kept).select("node", "sector", F.col("text").alias("core"), F.lit(1).alias("side"))
+        own = fresh.select("node", "sector", F.col("core").alias("text"), F.lit(1).alias("side")).where(F.length("text") >= least)
+        index, probes = index.unionAll(others), probes.unionAll(own)
+        bare_index, bare_probes = bare_index.unionAll(others.where("sector = ''")), bare_probes.unionAll(own)
+    links = cut(segment_join(index.where("sector != ''"), probes.where("sector != ''"), k, ["sector", "side"], least))
+    links = links.unionAll(cut(segment_join(bare_index.drop("sector"), bare_probes.drop("sector"), k_loose, ["side"], least)))
+    touched, bagged = nodes, lambda t: t.where(F.size("words") > 1).select("node", F.concat_ws(" ", F.array_sort("words"), F.array("sector")).alias("bag"))
+    bags = bagged(names)
+    if kept is not None:
+        touched, bags = nodes.join(fresh.select("core").distinct(), "core", "left_semi"), bags.join(bagged(new).select("bag").distinct(), "bag", "left_semi")
+    same = touched.groupBy("core").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("sector").alias("s"), F.count(F.lit(1)).alias("m")).where("m = 2 and s = ''").select("a", "b")
+    # the same words in any order
+    order = bags.groupBy("bag").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
+    links = links.unionAll(same).unionAll(order)
+    if aliases is not None:
+        at = names.select("name", "node")
+        links = links.unionAll(aliases.join(at.toDF("canonical", "a"), "canonical").join(at.toDF("spelling", "b"), "spelling").select("a", "b"))
+    return links
+
+
+def sole_word_links(owner: DataFrame) -> DataFrame:
+    """Links (a, b) of names of one long word to the one organisation that has this word among others; ``owner`` is org, node, words."""
+    owner = owner.select("org", "node", F.filter("words", lambda w: F.length(w) >= 4).alias("long"))
+    sole = owner.where((F.size("long") == 1) & (F.length(F.get("long", F.lit(0))) >= 6)).select("node", F.get("long", F.lit(0)).alias("w"))
+    held = owner.where(F.size("long") > 1).select("org", F.explode("long").alias("w")).groupBy("w").agg(F.min("org").alias("org"), F.max("org").alias("other")).where("org = other")
+    return sole.join(held, "w").select(F.col("node").alias("a"), F.col("org").alias("b"))
+
+
 def organisations(names: list[DataFrame], aliases: DataFrame | None = None, k: int = 3, k_loose: int = 2, least: int = 8) -> DataFrame:
     """Each distinct string of the ``company`` columns that names an organisation, with its organisation: name, org.
 
@@ -83,26 +130,10 @@ def organisations(names: list[DataFrame], aliases: DataFrame | None = None, k: i
         read = cut(read_names(strings.select("name", F.lit(True).alias("x")).unionAll(both.select("name", F.lit(False))).select("name")).select("name", "core", "turned", "sector", "words", F.concat_ws("|", "core", "sector").alias("node")))
     else:
         read = cut(read_names(strings).select("name", "core", "turned", "sector", "words", F.concat_ws("|", "core", "sector").alias("node")))
-    nodes = cut(read.groupBy("node").agg(F.first("core").alias("core"), F.first("sector").alias("sector"), F.collect_set("turned").alias("turned")))
-    probes = nodes.select("node", "sector", F.explode(F.array_distinct(F.concat(F.array("core"), "turned"))).alias("text")).where(F.length("text") >= least)
-    tight = segment_join(nodes.where("sector != ''").select("node", "core", "sector"), probes.where("sector != ''"), k, ["sector"], least)
-    bare = probes.where("sector = ''").select("node", "text")
-    loose = segment_join(nodes.select("node", "core"), bare, k_loose, [], least)
-    same = nodes.groupBy("core").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("sector").alias("s"), F.count(F.lit(1)).alias("m")).where("m = 2 and s = ''").select("a", "b")
-    # the same words in any order
-    order = read.where(F.size("words") > 1).select("node", F.concat_ws(" ", F.array_sort("words"), F.array("sector")).alias("bag")).groupBy("bag")
-    turned = order.agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-    links = cut(tight.unionAll(loose).unionAll(same).unionAll(turned))
-    if aliases is not None:
-        at = read.select("name", "node")
-        links = links.unionAll(entered.join(at.toDF("canonical", "a"), "canonical").join(at.toDF("spelling", "b"), "spelling").select("a", "b"))
+    nodes = cut(nodes_of(read))
+    links = name_links(read, nodes, None, read, entered if aliases is not None else None, k, k_loose, least)
     reps = cut(components(links))
-    # a name of one long word belongs to the organisation that alone has this word among others
-    long = F.filter("words", lambda w: F.length(w) >= 4)
-    owner = read.join(reps, "node", "left").select(F.coalesce("rep", "node").alias("org"), "node", long.alias("long"))
-    sole = owner.where((F.size("long") == 1) & (F.length(F.get("long", F.lit(0))) >= 6)).select("node", F.get("long", F.lit(0)).alias("w"))
-    held = owner.where(F.size("long") > 1).select("org", F.explode("long").alias("w")).groupBy("w").agg(F.min("org").alias("org"), F.max("org").alias("other")).where("org = other")
-    reps = components(links.unionAll(sole.join(held, "w").select(F.col("node").alias("a"), F.col("org").alias("b"))))
+    reps = components(links.unionAll(sole_word_links(read.join(reps, "node", "left").select(F.coalesce("rep", "node").alias("org"), "node", "words"))))
     return read.join(reps, "node", "left").select("name", F.coalesce("rep", "node").alias("org"))
 
 

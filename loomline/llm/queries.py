@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_postings(read_table(spark, folder, "postings"))
+    return repeated_postings(read_table(spark, folder, "postings"), read_table(spark, folder, "aliases"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -269,6 +269,18 @@ def test_postings_in_any_batches(spark):
     assert linkage.repeated_postings(df.limit(0)).count() == 0
 
 
+def test_employers_of_postings_link_as_organisations(spark):
+    names_of = ["Quillmere National Observatory", "QNO", "Acme", "Acme Software", "Zedham Galcoza Tirvel Logistics", "Tirvel Zedham Galcoza Logistics", "Galcoza Tirvel Zedham Logistics", "Cindermoor Fells Trust", "Cindermoor"]
+    want = {(0, 1), (2, 3), (4, 5), (4, 6), (7, 8)}
+    aliases = spark.createDataFrame([("Quillmere National Observatory", "QNO")], "canonical string, spelling string")
+    # the later a name here, the earlier it is met
+    rows = [(i, int(i < 5), x, "Curator" if i % 2 else "Curatr", None, 0) for i, x in enumerate(names_of)]
+    df, state = spark.createDataFrame(rows, POSTING), None
+    for some in (df.where("batch_no = 0"), df.where("batch_no = 1"), df):
+        state, found = linkage.accept(some, state, aliases)
+    assert {tuple(x) for x in found.collect()} == want
+
+
 # --- personal information
 
 
