@@ -179,6 +179,14 @@ def test_clock_offsets(spark):
     assert got["fast"] - got["right"] > 3000
 
 
+def test_clock_offsets_over_days(spark):
+    import datetime as dt
+
+    mails = [(2 * i + j, f"{i}.{j}", f"t{i}", d, dt.datetime(2025, 9, 1 + 2 * j, 12, i), s, None, "x", not j, "x") for i in range(20) for j, (s, d) in enumerate([("fast", "2025-09-04T11:00:00Z"), ("right", "2025-09-03T11:00:00Z")])]
+    got = {r.sender: r.offset_s for r in conversations.clock_offsets(spark.createDataFrame(mails, MAIL)).collect()}
+    assert got["fast"] > got["right"]
+
+
 BODIES = {
     "reply": ("Hi Ann,\nthis is new. It stays.\n\nKind regards,\nBob\n-- \nBob Lee\nT 1\n\nP.S. This is new too.\n\nOn Sat, Sep 6, 2025 at 10:28, Ann Lee\n<ann@x.example> wrote:\n> old\n>\n> old", {3, 4, 5, 6, 7, 11, 12, 13, 14, 15}),
     "between": ("Ann wrote on 2025-09-01:\n>one\n\nAnswer one is here.\n\n>two\n\nAnswer two is here.", {0, 1, 5}),
