@@ -1,31 +1,42 @@
-"""Connected components of a graph of links, in rounds of joins."""
+"""Connected components of a graph of links, by contraction in rounds of joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from loomline.operators.skew import join_key_facts
 from loomline.runtime import cut
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Each node that has a link, with the smallest node of its component: columns node, rep.
 
-    A distributed union-find: each round every node takes the smallest
-    representative among its neighbours and then that node's own
-    representative, so chains halve; rounds end when nothing changes.
-    Representatives are kept in the shared folder, never on the driver, and a
-    node of any degree is only aggregated.  Links to oneself or with a null
-    end are left out; repeated links change nothing.
+    A distributed union-find.  Each round every node hooks to the neighbour
+    that comes first in a random order (its hash), if that comes before the
+    node itself; links are then redrawn between what the nodes hooked to, and
+    those within one node vanish.  At least half of the nodes of a component
+    are expected to vanish in a round, so rounds grow with the logarithm of
+    its size; they go on until no link remains, however many that takes.
+    Mappings are kept in the shared folder, never on the driver.  The joins
+    go through ``join_key_facts``, so the hub of a star is not gathered in a
+    task.  Links to oneself or with a null end are left out; repeated links
+    change nothing.
     """
-    both = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    both = cut(both.select(F.col(a).alias("node"), F.col(b).alias("to")).unionAll(both.select(F.col(b), F.col(a))).distinct())
-    reps = cut(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("rep")))
-    for _ in range(max_rounds):
-        near = both.join(reps.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("rep").alias("near"))
-        lower = reps.join(near, "node").select("node", F.col("rep").alias("was"), F.least("rep", "near").alias("rep"))
-        jump = reps.select(F.col("node").alias("rep"), F.col("rep").alias("further"))
-        moved = cut(lower.join(jump, "rep", "left").select("node", F.least("rep", F.coalesce("further", "rep")).alias("rep"), "was"))
-        reps = moved.select("node", "rep")
-        if moved.where("rep != was").isEmpty():
-            return reps
-    raise RuntimeError(f"components were still changing after {max_rounds} rounds")
+    ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("node"), F.col(b).alias("to"))
+    edges = cut(ends.unionAll(ends.select("to", "node")).distinct())
+    mapping = None
+    while True:
+        order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+        hooks = edges.groupBy("node").agg(F.min(order("to")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hooks = cut(hooks.select("node", F.when(F.col("m") < order("node"), F.col("m.to")).otherwise(F.col("node")).alias("up"), "n"))
+        if mapping is None:
+            mapping = hooks.select("node", F.col("up").alias("rep"))
+        else:
+            mapping = cut(mapping.join(hooks.select(F.col("node").alias("rep"), "up"), "rep", "left").select("node", F.coalesce("up", "rep").alias("rep")))
+        half = join_key_facts(edges, hooks, "node", "n").select(F.col("up").alias("node"), "to")
+        other = hooks.select(F.col("node").alias("to"), F.col("up").alias("far"), "n")
+        edges = cut(join_key_facts(half, other, "to", "n").select("node", F.col("far").alias("to")).where("node != to").distinct())
+        if edges.isEmpty():
+            break
+    least = mapping.groupBy("rep").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+    return join_key_facts(mapping, least, "rep", "n").select("node", F.col("least").alias("rep"))

@@ -1,4 +1,4 @@
-"""Queries over deliveries; see ``reference`` for the record-processing operators."""
+"""Queries over deliveries."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "messages").select("row_no", "batch_no", "message_id", "msg_date")
+    rows = read_table(spark, folder, "messages")
     stored, new = rows.where("batch_no = 0"), rows.where("batch_no > 0")
     return keep_one(new, stored)
 
@@ -28,7 +28,7 @@ SQL = {
           select row_no, {_BARE} as k, row_number() over (partition by {_BARE} order by row_no) as rn from messages)
         where k is not null and rn > 1""",
     "p1_kept": f"""
-        select row_no, batch_no, message_id, msg_date from (
+        select * exclude (k, rn) from (
           select *, {_BARE} as k, row_number() over (partition by {_BARE} order by row_no) as rn from messages)
         where k is null or rn = 1""",
 }

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: set[str] = set()
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
@@ -35,10 +38,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name under the shared folder, for tables of this application; all of them are removed when Python ends."""
+    root = f"{shared_folder(spark)}/loomline-{spark.sparkContext.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(_removed, spark, root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def _removed(spark: SparkSession, root: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone already; the folder is then the cluster's to clean
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, keep it as a Parquet table in the shared folder, and go on from there.
+
+    What comes after reads only the columns it needs, from compressed files
+    that outlive any executor.
+    """
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def fresh(taken: list[str], *wanted: str) -> list[str]:
@@ -52,10 +77,6 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def data_folder(default: str = "/root/testdata/sf0.1") -> str:
-    return os.environ.get("BENCH_SF_DIR", default)
-
-
 _SHIPPED: set[str] = set()
 
 

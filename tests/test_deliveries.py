@@ -50,3 +50,32 @@ def test_components(spark):
     got = {r.node: r.rep for r in components(spark.createDataFrame(links, "a int, b int")).collect()}
     assert got[3] == 1 and got[11] == 10 and got[8] == 5 and got[140] == 100 and 4 not in got
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_filter_that_tells_nothing_loses_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from loomline.operators import deliveries
+
+    rows = spark.range(300).select(F.concat(F.lit("k"), F.col("id") % 200).alias("k"))
+    repeated = rows.groupBy("k").count().where("count > 1")
+    for bits in (32768, 1 << 20):
+        told = deliveries.maybe_repeated(rows, deliveries.repeated_filter(repeated, "k", bits), "k", "maybe", bits)
+        assert told.count() == 300
+        assert told.join(repeated, "k").where("not maybe").isEmpty()
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    from loomline.operators.components import components
+
+    links = [(i, i + 1) for i in range(1000, 1060)] + [(1, i) for i in range(2, 500)] + [(600, 601), (601, 602), (602, 600), (700, 700), (None, 3)]
+    got = {r.node: r.rep for r in components(spark.createDataFrame(links, "a int, b int")).collect()}
+    assert got == {i: 1000 for i in range(1000, 1061)} | {i: 1 for i in range(1, 500)} | {i: 600 for i in (600, 601, 602)}
+
+
+def test_join_of_two_hot_sides(spark):
+    from loomline.operators.skew import join_hot
+
+    a = spark.range(3000).selectExpr("if(id % 2 = 0, 'hot', 'k' || id) as k", "id as x")
+    b = spark.range(50).selectExpr("if(id % 5 = 0, 'hot', 'k' || id) as k", "id as y")
+    assert sorted(map(tuple, join_hot(a, b, "k").collect())) == sorted(map(tuple, a.join(b, "k").collect()))
