@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import xxhash
+
 # Words that say nothing of which organisation is meant.
 LEGAL = frozenset("inc ltd limited corp corporation holdings holding plc co company gmbh llc sa ag kg bv nv srl spa oy ab as llp lp pte pty sarl".split())
 STOP = frozenset("the of and at for a an und et y de la le".split())
@@ -85,6 +87,65 @@ def within(a: str, b: str, k: int) -> bool:
     return last[m] <= k
 
 
+#: From how many letters of the shorter word on how many edits are a slip; shorter words have to be equal.
+NAME_STEPS = ((4, 1), (8, 3))
+TITLE_STEPS = ((3, 1), (9, 2))
+
+
+def reach(n: int, steps: tuple[tuple[int, int], ...]) -> int:
+    """Edits that are a slip in a word of ``n`` letters."""
+    return max((k for least, k in steps if n >= least), default=0)
+
+
+def slip(a: str, b: str, steps: tuple[tuple[int, int], ...], most: int = 99) -> bool:
+    """Whether two words differ by no more edits than the shorter one may have."""
+    return within(a, b, min(reach(min(len(a), len(b)), steps), most))
+
+
+def _key(n: int, i: int, part: str) -> int:
+    return xxhash.xxh64_intdigest(f"{n}|{i}|{part}") - (1 << 63)
+
+
+def segments(text: str, steps: tuple[tuple[int, int], ...]) -> list[int]:
+    """Keys under which a word stands in the inverted index: its length, and number and letters of each of its k + 1 segments."""
+    n = len(text)
+    k = reach(n, steps)
+    cuts = [n * i // (k + 1) for i in range(k + 2)]
+    return [_key(n, i, text[cuts[i] : cuts[i + 1]]) for i in range(k + 1)] if k else []
+
+
+def sought(text: str, steps: tuple[tuple[int, int], ...]) -> set[int]:
+    """Keys of all segments that a word within reach may have in common with ``text``.
+
+    Each edit is charged to one segment, a swap over a border to the one on
+    its right, so one segment stays uncharged; at most ``i`` edits stand
+    before it and ``k - i`` after it, which bounds its shift.  It is met as it
+    stands or, where a swap crosses its right border, with its last letter
+    taken from behind the border.
+    """
+    m, out = len(text), set()
+    far = max(k for _, k in steps)
+    for n in range(max(1, m - far), m + far + 1):
+        parts, k, d = reach(n, steps), reach(min(n, m), steps), m - n
+        if not k or abs(d) > k:
+            continue
+        for i in range(parts + 1):
+            begin, end = n * i // (parts + 1), n * (i + 1) // (parts + 1)
+            left, right = (min(i, k), min(k - i, k)) if parts == k else (k, k)
+            for q in range(max(0, begin - left, begin + d - right), min(m - (end - begin), begin + left, begin + d + right) + 1):
+                stop = q + end - begin
+                out.add(_key(n, i, text[q:stop]))
+                if stop < m and stop > q:
+                    out.add(_key(n, i, text[q : stop - 1] + text[stop]))
+    return out
+
+
+def shouted(name: str) -> bool:
+    """Whether a name is one word of capitals, as short forms are: with those a slip makes another name."""
+    letters = [c for c in name if c.isalpha()]
+    return len(letters) <= 6 and all(c.isupper() for c in letters) and len(fold(name).split()) == 1
+
+
 def _sector_at(words: list[str], last: bool) -> tuple[str, int]:
     """The sector at one end of the words, typed right or nearly, and how many words it takes."""
     for form, sector in _FORMS:

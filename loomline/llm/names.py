@@ -8,138 +8,187 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomline.llm.namekeys import read_name, within
-from loomline.operators.components import components
+from loomline.llm.kept import Kept, unite, with_kept
+from loomline.llm.namekeys import NAME_STEPS, read_name, segments, shouted, slip, sought
+from loomline.operators.skew import join_hot
 from loomline.runtime import cut, ship
 
+Steps = tuple[tuple[int, int], ...]
+#: Edits at most between names of which one does not tell its sector.
+LOOSE = 2
+_READ = "name string, node string, core string, turned string, sector string, words array<string>, plain boolean"
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        read = [read_name(x) for x in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in read], pa.string()) for k in range(3)), pa.array([r[3] for r in read], pa.list_(pa.string()))], ["name", "core", "turned", "sector", "words"])
+
+def read_rows(names: list[str | None]) -> dict[str, pa.Array]:
+    """Of typed names, remembered for a batch: node (core and sector, null for none), core, turned core, sector, words, and whether slips may be looked for."""
+    known: dict[str, tuple] = {}
+    for name in set(names) - {None}:
+        core, turned, sector, words = read_name(name)
+        known[name] = (f"{core}|{sector}", core, turned, sector, words, not shouted(name)) if core else (None, "", "", "", [], False)
+    rows = [known[x] if x is not None else (None, "", "", "", [], False) for x in names]
+    types = {"node": pa.string(), "core": pa.string(), "turned": pa.string(), "sector": pa.string(), "words": pa.list_(pa.string()), "plain": pa.bool_()}
+    return {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(types.items())}
 
 
 def read_names(names: DataFrame) -> DataFrame:
-    """Distinct strings of the column ``name`` with core, turned core and sector; placeholders are left out."""
+    """Distinct strings of the column ``name`` as read; placeholders and names without words are left out."""
     ship(names.sparkSession)
-    some = names.select("name").where("name is not null").distinct()
-    return some.mapInArrow(_read, "name string, core string, turned string, sector string, words array<string>").where("core != ''")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = read_rows(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols.values()], ["name", *cols])
+
+    return names.select("name").where("name is not null").distinct().mapInArrow(read, _READ).where("node is not null")
+
+
+def forms_of(read: DataFrame) -> DataFrame:
+    """Each distinct way of reading a node: form, node, core, turned, sector, words, plain."""
+    columns = ["node", "core", "turned", "sector", "words", "plain"]
+    return read.select(F.xxhash64(*columns).alias("form"), *columns).dropDuplicates(["form"])
 
 
-def segment_join(nodes: DataFrame, probes: DataFrame, k: int, exact: list[str], least: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose cores lie within ``k`` edits, found by the pigeonhole principle.
+def keyed(texts: DataFrame, of: str, steps: Steps) -> DataFrame:
+    """``texts`` (text and others) once per key: of the segments it has (``of`` = "held"), or of those that a word within reach may have ("sought")."""
+    ship(texts.sparkSession)
+    make = segments if of == "held" else sought
+    columns = texts.columns
+    at = columns.index("text")
 
-    Each core of ``nodes`` (node, core and the columns ``exact``) is cut into
-    ``k + 1`` segments; ``k`` edits leave one of them whole, so a core within
-    reach holds one, shifted by at most the edits before it.  Segments stand
-    in an inverted index by length of the core, number of the segment, its
-    letters and the columns ``exact``; substrings of each probe (node, text)
-    at all such shifts are looked up there, and what meets is verified with a
-    banded edit distance.  Cores shorter than ``least`` are not indexed.
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [list(make(x, steps)) for x in batch.column(at).to_pylist()]
+            rows = pa.array([i for i, ks in enumerate(each) for _ in ks], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([k for ks in each for k in ks], pa.int64()), *(c.take(rows) for c in batch.columns)], ["key", *columns])
+
+    return texts.mapInArrow(keys, "key bigint, " + ", ".join(f"{n} {t}" for n, t in texts.dtypes))
+
+
+def near_pairs(probes: DataFrame, index: DataFrame, steps: Steps, meet: str = "true", most: str = "99") -> DataFrame:
+    """Pairs (a, b, text, other) of ``probes`` and ``index`` (key, id, text and others) within the edits that ``steps`` allow.
+
+    Keys meet by ``join_hot``, so a segment that many names share is split.
+    ``meet`` is a condition on the columns of both sides, those of the index
+    with ``_b``; ``most`` a column that lowers the number of edits.
     """
-    size = F.length("core")
-    cuts = F.sequence(F.lit(0), F.lit(k))
-    begin = lambda i, n: F.floor(n * i / (k + 1)).cast("int")
-    index = nodes.where(size >= least).select(
-        F.col("node").alias("b"), F.col("core").alias("other"), *exact, size.alias("n"), F.explode(F.transform(cuts, lambda i: F.struct(i.alias("i"), F.substr(F.col("core"), begin(i, size) + 1, begin(i + 1, size) - begin(i, size)).alias("s")))).alias("seg")
-    ).select("b", "other", *exact, "n", F.col("seg.i").alias("i"), F.col("seg.s").alias("s"))
-    own = F.length("text")
-    lengths = probes.select("node", "text", *exact, F.explode(F.sequence(F.greatest(own - k, F.lit(least)), F.greatest(own + k, F.lit(least)))).alias("n"))
-    placed = lengths.select("node", "text", *exact, "n", F.explode(cuts).alias("i")).withColumns({"p": begin(F.col("i"), F.col("n")), "w": begin(F.col("i") + 1, F.col("n")) - begin(F.col("i"), F.col("n"))})
-    # segment i can have moved by no more than i edits before it, and k - i after it
-    low = F.greatest(F.lit(0), F.col("p") - F.col("i"), F.col("p") + F.length("text") - F.col("n") - (k - F.col("i")))
-    high = F.least(F.length("text") - F.col("w"), F.col("p") + F.col("i"), F.col("p") + F.length("text") - F.col("n") + (k - F.col("i")))
-    looked = placed.where(low <= high).select("node", "text", *exact, "n", "i", F.explode(F.sequence(low, high)).alias("q"), "w").select("node", "text", *exact, "n", "i", F.substr(F.col("text"), F.col("q") + 1, F.col("w")).alias("s"))
-    met = looked.distinct().join(index, [*exact, "n", "i", "s"]).where("node != b").select(F.col("node").alias("a"), "b", "text", "other").distinct()
+    other = index.select("key", *[F.col(c).alias(f"{c}_b") for c in index.columns if c != "key"])
+    met = join_hot(other, probes, "key").where("id != id_b").where(meet)
+    met = met.select(F.col("id").alias("a"), F.col("id_b").alias("b"), "text", F.col("text_b").alias("other"), F.expr(most).cast("int").alias("most")).distinct()
 
     @F.pandas_udf("boolean")
-    def near(x, y):
+    def near(x, y, most):
         import pandas as pd
 
-        return pd.Series([within(p, q, k) for p, q in zip(x, y)])
+        return pd.Series([slip(p, q, steps, int(m)) for p, q, m in zip(x, y, most)])
 
     # the built-in distance counts a swap of neighbours twice; it is the cheaper test and goes first
-    return met.where(F.levenshtein("text", "other", 2 * k) >= 0).where(near("text", "other")).select("a", "b").distinct()
-
+    far = 2 * max(k for _, k in steps)
+    return met.where(F.levenshtein("text", "other", far) >= 0).where(near("text", "other", "most")).select("a", "b", "text", "other").distinct()
+
+
+def name_keys(forms: DataFrame) -> DataFrame:
+    """Keys under which names meet without a slip (key, kind, node): bag of words, core, words of several, sole word."""
+    long = F.filter("words", lambda w: F.length(w) >= 4)
+    one = F.get(long, F.lit(0))
+    rows = forms.select(
+        "node",
+        F.array(
+            F.when(F.size("words") > 1, F.struct(F.lit("bag").alias("kind"), F.array(F.xxhash64(F.lit("bag"), F.concat_ws(" ", F.array_sort("words")), "sector")).alias("keys"))),
+            F.struct(F.lit("core").alias("kind"), F.array(F.xxhash64(F.lit("core"), "core")).alias("keys")),
+            F.when(F.size(long) > 1, F.struct(F.lit("word").alias("kind"), F.transform(long, lambda w: F.xxhash64(F.lit("word"), w)).alias("keys"))),
+            F.when((F.size(long) == 1) & (F.length(one) >= 6), F.struct(F.lit("sole").alias("kind"), F.array(F.xxhash64(F.lit("word"), one)).alias("keys"))),
+        ).alias("all"),
+    )
+    return rows.select("node", F.explode("all").alias("x")).where("x is not null").select("node", "x.kind", F.explode("x.keys").alias("key")).select("key", "kind", "node").distinct()
+
+
+def link_names(forms: DataFrame, entered: DataFrame | None, kept: Kept | None = None) -> tuple[DataFrame, DataFrame]:
+    """Unite the employers' nodes that new ``forms`` bring: the representatives that changed (old, rep) and the new mapping rows (node, rep).
+
+    With ``kept`` only its entries under the keys of the new forms are read,
+    and what the new forms add is appended.  Whichever of two names came
+    first, they meet: both forms of a name are indexed and both are looked up.
+    ``entered`` are nodes that an alias joins (a, b).
+    """
+    both = F.array(F.struct(F.col("core").alias("text"), F.lit(False).alias("turn")), F.struct(F.col("turned").alias("text"), F.lit(True).alias("turn")))
+    texts = forms.where("plain").select(F.col("node").alias("id"), "sector", F.explode(both).alias("t")).select("id", "sector", "t.text", "t.turn").where("not turn or text != split_part(id, '|', 1)").distinct()
+    index, probes = cut(keyed(texts, "held", NAME_STEPS)), cut(keyed(texts, "sought", NAME_STEPS))
+    met = with_kept(None if kept is None else kept.probe("segments", probes, "key"), index)
+    compatible = "(sector = sector_b or sector = '' or sector_b = '') and not (turn and turn_b)"
+    links = near_pairs(probes, met, NAME_STEPS, compatible, f"if(sector = '' or sector_b = '', {LOOSE}, 99)").select("a", "b")
+
+    keys = cut(name_keys(forms))
+    held = with_kept(None if kept is None else kept.probe("name_keys", keys, "key"), keys).distinct()
+    held = held if kept is None else cut(held)
+    # a bag holds no more nodes than its words have orders
+    bags = held.where("kind = 'bag'").groupBy("key").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
+    cores = held.where("kind = 'core'").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 2 and (a like '%|' or b like '%|')").select("a", "b")
+    links = links.unionAll(bags).unionAll(cores)
+    if entered is not None:
+        links = links.unionAll(entered)
+    changed, moved = unite(links, kept, "employers")
+
+    # names of one long word join the one organisation that has this word among others
+    sole = held.where("kind in ('word', 'sole')")
+    if kept is None:
+        reps = sole.join(moved.groupBy("node").agg(F.min("rep").alias("rep")), "node", "left")
+    else:
+        earlier = kept.probe("employers", sole, "node")
+        reps = sole.join(with_kept(earlier, moved).groupBy("node").agg(F.min("rep").alias("rep")), "node", "left")
+    reps = reps.withColumn("rep", F.coalesce("rep", "node"))
+    single = reps.where("kind = 'word'").groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a = z").select("key", "a")
+    further, added = unite(reps.where("kind = 'sole'").select("key", F.col("rep").alias("b")).join(single, "key"), kept, "employers", moved)
+    rows = cut(moved.unionAll(added).groupBy("node").agg(F.min("rep").alias("rep")))
+    olds = changed.select("old").unionAll(further.select("old")).distinct()
+    if kept is not None:
+        kept.append("segments", index, "key")
+        kept.append("name_keys", keys, "key")
+        kept.append("employers", rows, "node")
+        kept.append("employers_of", rows, "rep")
+    return olds.join(rows.withColumnRenamed("node", "old"), "old"), rows
 
-def nodes_of(read: DataFrame) -> DataFrame:
-    """Of read names, each node once: node, core, sector, turned (all turned cores)."""
-    return read.groupBy("node").agg(F.first("core").alias("core"), F.first("sector").alias("sector"), F.collect_set("turned").alias("turned"))
 
+def entered_links(aliases: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of aliases as the user has entered them: their readings, and the pairs of nodes (a, b) that they join."""
+    if aliases is None:
+        return None, None
+    pairs = aliases.where("canonical is not null and spelling is not null").select("canonical", "spelling").distinct()
+    read = cut(read_names(pairs.select(F.col("canonical").alias("name")).unionAll(pairs.select("spelling"))))
+    at = read.select("name", "node")
+    return read, pairs.join(at.toDF("canonical", "a"), "canonical").join(at.toDF("spelling", "b"), "spelling").select("a", "b")
 
-def name_links(new: DataFrame, fresh: DataFrame, kept: DataFrame | None, names: DataFrame, aliases: DataFrame | None, k: int, k_loose: int, least: int) -> DataFrame:
-    """Links (a, b) that names ``new`` (node, sector, words) with nodes ``fresh`` bring to the nodes ``kept`` and to each other.
 
-    ``names`` are all names, ``new`` ones included: name, node, sector, words.
-    A pair links or not whichever of the two came first: turned cores of
-    fresh nodes are looked up among all cores, fresh cores among turned cores
-    of kept nodes.  ``aliases`` (canonical, spelling) may repeat known ones.
-    """
-    nodes = fresh if kept is None else kept.unionByName(fresh).groupBy("node").agg(F.first("core").alias("core"), F.first("sector").alias("sector"))
-    forms = lambda t: t.select("node", "sector", F.explode(F.array_distinct(F.concat(F.array("core"), "turned"))).alias("text")).where(F.length("text") >= least)
-    # side 0: all forms of fresh nodes in all cores; side 1: cores of fresh nodes in all forms of kept ones
-    index, probes = nodes.select("node", "sector", "core", F.lit(0).alias("side")), forms(fresh).withColumn("side", F.lit(0))
-    bare_index, bare_probes = index, probes.where("sector = ''")
-    if kept is not None:
-        others = forms(kept).select("node", "sector", F.col("text").alias("core"), F.lit(1).alias("side"))
-        own = fresh.select("node", "sector", F.col("core").alias("text"), F.lit(1).alias("side")).where(F.length("text") >= least)
-        index, probes = index.unionAll(others), probes.unionAll(own)
-        bare_index, bare_probes = bare_index.unionAll(others.where("sector = ''")), bare_probes.unionAll(own)
-    links = cut(segment_join(index.where("sector != ''"), probes.where("sector != ''"), k, ["sector", "side"], least))
-    links = links.unionAll(cut(segment_join(bare_index.drop("sector"), bare_probes.drop("sector"), k_loose, ["side"], least)))
-    touched, bagged = nodes, lambda t: t.where(F.size("words") > 1).select("node", F.concat_ws(" ", F.array_sort("words"), F.array("sector")).alias("bag"))
-    bags = bagged(names)
-    if kept is not None:
-        touched, bags = nodes.join(fresh.select("core").distinct(), "core", "left_semi"), bags.join(bagged(new).select("bag").distinct(), "bag", "left_semi")
-    same = touched.groupBy("core").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("sector").alias("s"), F.count(F.lit(1)).alias("m")).where("m = 2 and s = ''").select("a", "b")
-    # the same words in any order
-    order = bags.groupBy("bag").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-    links = links.unionAll(same).unionAll(order)
-    if aliases is not None:
-        at = names.select("name", "node")
-        links = links.unionAll(aliases.join(at.toDF("canonical", "a"), "canonical").join(at.toDF("spelling", "b"), "spelling").select("a", "b"))
-    return links
-
-
-def sole_word_links(owner: DataFrame) -> DataFrame:
-    """Links (a, b) of names of one long word to the one organisation that has this word among others; ``owner`` is org, node, words."""
-    owner = owner.select("org", "node", F.filter("words", lambda w: F.length(w) >= 4).alias("long"))
-    sole = owner.where((F.size("long") == 1) & (F.length(F.get("long", F.lit(0))) >= 6)).select("node", F.get("long", F.lit(0)).alias("w"))
-    held = owner.where(F.size("long") > 1).select("org", F.explode("long").alias("w")).groupBy("w").agg(F.min("org").alias("org"), F.max("org").alias("other")).where("org = other")
-    return sole.join(held, "w").select(F.col("node").alias("a"), F.col("org").alias("b"))
-
-
-def organisations(names: list[DataFrame], aliases: DataFrame | None = None, k: int = 3, k_loose: int = 2, least: int = 8) -> DataFrame:
+def organisations(names: list[DataFrame], aliases: DataFrame | None = None) -> DataFrame:
     """Each distinct string of the ``company`` columns that names an organisation, with its organisation: name, org.
 
     A name is folded, freed of legal forms, places in brackets and its
-    sector, and the rest joined to a core.  Equal cores link; cores of one
-    sector link within ``k`` edits, cores of which one has no sector within
-    ``k_loose``, also with the parts of the name turned round; entered
-    aliases link as they say, and a name of one long word joins the one
-    organisation that has this word.  Cores are united by ``components``.
+    sector, and the rest joined to a core.  Cores are cut into k + 1 segments
+    in an inverted index; substrings of every core, and of it with its parts
+    turned round, are looked up there at all shifts within k, and what meets
+    is verified with a banded edit distance.  k goes by the length of the
+    shorter core (``NAME_STEPS``: one edit from four letters, three from
+    eight), two at most where one name tells no sector; cores of other
+    sectors do not link.  Names under four letters, and single words typed in
+    capitals only (short forms), link when equal.  The same words in any
+    order link, entered aliases link as they say, and a name of one long word
+    joins the one organisation that has this word.
 
     Null, blank and placeholder names have no row; strings repeated in one or
-    several tables have one; cores shorter than ``least`` only link when
-    equal; empty tables give an empty result; other columns are not read.
+    several tables have one; empty tables give an empty result; other columns
+    are not read.
     """
     strings = reduce(DataFrame.unionAll, [t.select(F.col("company").alias("name")) for t in names])
-    if aliases is not None:
-        entered = aliases.where("canonical is not null and spelling is not null").select("canonical", "spelling")
-        both = entered.select(F.col("canonical").alias("name")).unionAll(entered.select("spelling"))
-        read = cut(read_names(strings.select("name", F.lit(True).alias("x")).unionAll(both.select("name", F.lit(False))).select("name")).select("name", "core", "turned", "sector", "words", F.concat_ws("|", "core", "sector").alias("node")))
-    else:
-        read = cut(read_names(strings).select("name", "core", "turned", "sector", "words", F.concat_ws("|", "core", "sector").alias("node")))
-    nodes = cut(nodes_of(read))
-    links = name_links(read, nodes, None, read, entered if aliases is not None else None, k, k_loose, least)
-    reps = cut(components(links))
-    reps = components(links.unionAll(sole_word_links(read.join(reps, "node", "left").select(F.coalesce("rep", "node").alias("org"), "node", "words"))))
-    return read.join(reps, "node", "left").select("name", F.coalesce("rep", "node").alias("org"))
+    read = cut(read_names(strings))
+    entered, links = entered_links(aliases)
+    _, rows = link_names(cut(forms_of(read if entered is None else read.unionByName(entered))), links)
+    return read.join(rows, "node", "left").select("name", F.coalesce("rep", "node").alias("org"))
 
 
 def same_organisation(names: list[DataFrame], aliases: DataFrame | None = None) -> DataFrame:
-    """Each pair (name_a, name_b) of different strings as stored that name one organisation, the smaller first."""
-    orgs = organisations(names, aliases)
-    stored = reduce(DataFrame.unionAll, [t.select(F.col("company").alias("name")) for t in names]).distinct()
-    rows = orgs.join(stored, "name", "left_semi")
-    return rows.select("org", F.col("name").alias("name_a")).join(rows.select("org", F.col("name").alias("name_b")), "org").where("name_a < name_b").select("name_a", "name_b")
+    """Each pair (name_a, name_b) of different strings as stored that name one organisation, the smaller first.
+
+    The pairs are what is asked for; ``organisations`` gives the same in one
+    row per string.
+    """
+    orgs = cut(organisations(names, aliases))
+    return join_hot(orgs.select("org", F.col("name").alias("name_a")), orgs.select("org", F.col("name").alias("name_b")), "org").where("name_a < name_b").select("name_a", "name_b")
