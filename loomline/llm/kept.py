@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomline.operators.components import components
 from loomline.runtime import cut
 
+#: Bytes of a table from which it is worth a job to find out which of its slots a batch touches.
+PRUNED_FROM = 64_000_000
+
 
 class Kept:
     """Append-only Parquet tables in one folder, which any later session can open again.
@@ -51,9 +54,10 @@ class Kept:
         if table is None:
             return None
         keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
-        touched = [r[0] for r in keys.select(self._slot(key)).distinct().collect()]  # at most ``slots`` numbers
-        if len(touched) < self.slots:
-            table = table.where(F.col("slot").isin(touched)) if touched else table.where(F.lit(False))
+        if sum(self._fs.getContentSummary(self._path(p)).getLength() for p in parts) > PRUNED_FROM:
+            touched = [r[0] for r in keys.select(self._slot(key)).distinct().collect()]  # at most ``slots`` numbers
+            if len(touched) < self.slots:
+                table = table.where(F.col("slot").isin(touched)) if touched else table.where(F.lit(False))
         return table.drop("slot", "batch").join(keys, key, "left_semi")
 
     def _filled(self, parts: list[str]) -> bool:

@@ -61,6 +61,9 @@ def keyed(texts: DataFrame, of: str, steps: Steps) -> DataFrame:
             rows = pa.array([i for i, ks in enumerate(each) for _ in ks], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([k for ks in each for k in ks], pa.int64()), *(c.take(rows) for c in batch.columns)], ["key", *columns])
 
+    if of == "sought":
+        # a word gives a hundred keys, so few words must not meet in a task because they are small
+        texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return texts.mapInArrow(keys, "key bigint, " + ", ".join(f"{n} {t}" for n, t in texts.dtypes))
 
 
