@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -14,35 +15,23 @@ from loomline.operators.deliveries import bare_identifier
 from loomline.operators.skew import join_key_facts
 from loomline.runtime import cut, ship
 
-# Words that close a mail, notices of mail programs and firms, marks of postscripts.
-CLOSINGS = (
-    "warmly", "cheers", "thanks", "many thanks", "talk soon", "yours sincerely", "yours faithfully", "sincerely", "best", "all the best", "best wishes",
-    "kind regards", "best regards", "warm regards", "regards", "bien à vous", "cordialement", "un saludo", "saludos", "saludos cordiales", "atentamente",
-    "viele grüße", "liebe grüße", "mit freundlichen grüßen", "beste grüße",
-)
-NOTICES = (
-    r"we monitor mail for quality and for the law\. no contract is formed by this message\.",
-    r"registered office: .{5,120}\. registered number \d+\.",
-    r"confidential: .{10,200}\b(?:not allowed|prohibited|forbidden)\b.{0,40}",
-    r"ce message est confidentiel\b.{5,200}",
-    r"diese nachricht ist vertraulich\b.{5,150}\b(?:löschen|vernichten)\b.{0,40}",
-    r"este mensaje es confidencial\b.{5,200}",
-    r"this e-?mail and any (?:files|attachments)\b.{5,250}\b(?:delete|destroy|notify)\b.{0,80}",
-    r"von meinem .{2,40} gesendet",
-    r"envoyé depuis .{2,40}",
-    r"enviado desde .{2,40}",
-    r"sent from (?:my|a) .{2,60}",
-    r"get \w+mail for .{2,30}",
-    r"\(dictated .{2,60}\)",
-    r"\*\*\* ?message scanned\b.{2,80}",
-    r"\[external\].{0,200}",
-    r"caution: this (?:e-?)?mail came from outside.{0,200}",
-)
+# Words that notices of mail programs and firms use and letters hardly do.
+MARKERS = (
+    r"\b(?:confidential|confidentiel|confidencial|vertraulich|confidenziale|privileged|addressee|intended (?:only )?for|intended recipient|disclaimer|registered (?:office|number)|company number|virus(?:es)?|scanned|unsubscribe|dictated|"
+    r"sent from (?:my|a)|get \w+ for \w+|envoyé depuis|enviado desde|inviato da|skickat från|monitors? (?:e-?)?mails?|outside (?:of )?(?:the|your) organi[sz]ation)\b|von meinem .* gesendet|\[external\]"
+)
+#: Sentences of so many words or more are looked at.
+NOTICE_WORDS = 3
+#: A sentence with one of ``MARKERS`` is a notice once it recurs in so great a share of all mails, and in two of several threads.
+MARKED_SHARE = 0.00001
+#: Any other is one if it recurs and stands beside a marked one so often.
+BESIDE = 0.9
+#: A short line closes mails if it does so in this share of all mails, and mostly.
+CLOSING_SHARE, CLOSING_MOSTLY = 0.001, 0.6
 POSTSCRIPT = re.compile(r"(?i)^(?:p\.? ?s\.?(?: ?:)?|n\.?b\.?:?|one more thing:|postscript:) ")
 
-_CLOSING = re.compile(r"(?i)^(?:" + "|".join(CLOSINGS) + r")\s*[,.!]?$")
-_NOTICE = re.compile("(?is)^(?:" + "|".join(NOTICES) + ")$")
-_NOTICE_HEAD = re.compile("(?i)^(?:" + "|".join({re.split(r"[^\w ':éèà-]", n.replace(r"\*", "*").replace(r"\[", "[").replace(r"\(", "("))[0][:9].rstrip("- ") for n in NOTICES if n[0].isalpha()}) + r"|\*\*\*|\[ext|\(dict|sent from|get )")
+_MARKED = re.compile(MARKERS)
+_DIGITS = re.compile(r"[0-9]+")
 _QUOTED = re.compile(r"^\s{0,4}[>|]")
 _BROKEN_OFF = re.compile(r"^> ?\d+ \w")
 _RULE = re.compile(r"^(?:-{2}|[*~=]{3,}|_{3,})\s*$")
@@ -54,6 +43,7 @@ _INTRO = re.compile(
 _INTRO_HEAD = re.compile(r"(?i)^(?:on \w{3,9},? .*\d|el \d|le \d|am \d|quoting ).*[^.:?!]$")
 _SIGN = re.compile(r"^(?:- |– |— )?[^\W\d_][\w'’.-]*(?: [\w'’.-]+){0,4}$")
 _SALUTATION = re.compile(r"(?i)^(?:(?:hi|hello|hey|dear|good (?:morning|afternoon|evening)|hallo|guten tag|bonjour|hola|buenos días|estimado/a|cher|chère|liebe|lieber|sehr geehrte\w*)\b[^.?]{0,60}|[^\W\d_][\w'’-]+(?: [\w'’-]+){0,3},)[,!]?$")
+_TAILED = re.compile(r"^[^\W_a-zß-öø-ÿ+].*[^.?!,:;]$|^\+\d.*[^.?!,:;]$")
 _CONTACT = re.compile(r"(?i)\bp\.? ?o\.? box|@|\||\d{4}")
 _TWO_SENTENCES = re.compile(r"[a-z]{2}[.?!] [A-Z¿¡]")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -62,7 +52,54 @@ _WORD = re.compile(r"\w+")
 PLAIN, OLD, BLANK, TAIL = 0, 1, 2, 3
 
 
-def classify(body: str) -> list[int]:
+@dataclass(frozen=True)
+class Learned:
+    """What recurs in a corpus: lines that close mails, and hashes of sentences that are notices."""
+
+    closings: frozenset[str] = frozenset()
+    notices: frozenset[int] = frozenset()
+
+
+def closing_text(line: str) -> str:
+    """A line as closings are counted: lower case, without marks at its end."""
+    return line.strip().rstrip(",.! ").lower()
+
+
+def sentence_hash(sentence: str) -> int:
+    """Of a sentence in lower case with single spaces, numbers of a marked one alike; the same as the built-in ``xxhash64``."""
+    text = " ".join(sentence.lower().split())
+    value = xxhash.xxh64_intdigest(_DIGITS.sub("0", text) if _MARKED.search(text) else text, seed=42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def notice_lines(lines: list[str], kind: list[int], notices: frozenset[int]) -> list[int]:
+    """Plain lines all of whose sentences are notices; a sentence may run over lines."""
+    out, i = [], 0
+    while i < len(lines):
+        if kind[i] != PLAIN:
+            i += 1
+            continue
+        j, held, spans = i, [], []
+        while j < len(lines) and kind[j] == PLAIN:
+            held.append(lines[j].strip())
+            j += 1
+        text, at = " ".join(held), 0
+        for sentence in _SENTENCE.split(text):
+            begin = text.index(sentence, at)
+            at = begin + len(sentence)
+            spans.append((begin, at, sentence_hash(sentence) in notices))
+        if any(told for *_, told in spans):
+            at = 0
+            for k, line in enumerate(held):
+                own = [told for b, e, told in spans if b < at + len(line) and e > at]
+                if own and all(own):
+                    out.append(i + k)
+                at += len(line) + 1
+        i = j
+    return out
+
+
+def classify(body: str, learned: Learned = Learned()) -> list[int]:
     """A class for each line: plain, certainly not newly written, blank, or ``TAIL`` (a short closing line that depends on whether the sender repeats it)."""
     lines = [x.rstrip() for x in body.split("\n")]
     n = len(lines)
@@ -72,21 +109,6 @@ def classify(body: str) -> list[int]:
     def after(i: int) -> int:
         return next((j for j in range(i + 1, n) if kind[j] != BLANK), n)
 
-    # notices, also wrapped over up to five lines
-    for i in filled:
-        if kind[i] == PLAIN and _NOTICE_HEAD.match(lines[i].strip()):
-            joined = ""
-            best = 0
-            for j in range(i, min(i + 5, n)):
-                if kind[j] != PLAIN:
-                    break
-                joined = f"{joined} {lines[j].strip()}".strip()
-                if _NOTICE.match(joined) and (joined.endswith((".", "***", ")")) or j + 1 >= n or kind[j + 1] == BLANK):
-                    best = j + 1
-                    break
-            for j in range(i, best):
-                kind[j] = OLD
-
     # marked quotations
     marked = [i for i in filled if _QUOTED.match(lines[i])]
     for i in marked:
@@ -94,6 +116,11 @@ def classify(body: str) -> list[int]:
         if not (alone and _BROKEN_OFF.match(lines[i])):
             kind[i] = OLD
 
+    notices = notice_lines(lines, kind, learned.notices)
+    for i in notices:
+        kind[i] = OLD
+    told_notice = set(notices)
+
     # lines that introduce earlier mail, and what they introduce
     i = 0
     while i < n:
@@ -144,13 +171,13 @@ def classify(body: str) -> list[int]:
         if kind[i] == BLANK:
             continue
         if kind[i] == OLD:
-            if not _NOTICE_HEAD.match(lines[i].strip()):
+            if i not in told_notice:
                 closing = False
             continue
         text = lines[i].strip()
         if POSTSCRIPT.match(text + " "):
             closing = False
-        elif _CLOSING.match(text) and (text[0].isupper() or not i or kind[i - 1] != PLAIN) or _RULE.match(text) or (text[:2] in ("- ", "– ", "— ") and _SIGN.match(text) and len(text.split()) <= 5 and (i + 1 >= n or kind[i + 1] != PLAIN)):
+        elif closing_text(text) in learned.closings and text[-1] not in "?:;" and (text[0].isupper() and text[-1] != "." or not i or kind[i - 1] != PLAIN) or _RULE.match(text) or (text[:2] in ("- ", "– ", "— ") and _SIGN.match(text) and len(text.split()) <= 5 and (i + 1 >= n or kind[i + 1] != PLAIN)):
             closing = True
             kind[i] = OLD
         elif closing:
@@ -169,7 +196,10 @@ def classify(body: str) -> list[int]:
     for i in range(n - 1, -1, -1):
         if kind[i] == PLAIN:
             text = lines[i].strip()
-            if ahead and _SIGN.match(text) and text[-1] not in ".?!,:;" and text[0].isupper() and not _SALUTATION.match(text):
+            signs = _SIGN.match(text) and text[-1] not in ".?!,:;" and text[0].isupper() and not _SALUTATION.match(text)
+            # titles, firms, numbers and addresses under a name
+            under = i and kind[i - 1] == PLAIN and len(text.split()) <= 8 and _TAILED.match(text) and _SIGN.match(lines[i - 1].strip()) and lines[i - 1].strip()[0].isupper()
+            if ahead and (signs or under):
                 kind[i] = TAIL
             else:
                 ahead = False
@@ -218,12 +248,12 @@ _TYPES = pa.schema([
 ])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], learned: Learned) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = batch.to_pydict()
         out = {k: [] for k in ("old", "tails", "units", "spots")}
         for body in cols["body"]:
-            kind = classify(body)
+            kind = classify(body, learned)
             units, spots = units_of(body, kind)
             lines = body.split("\n")
             out["old"].append([i for i, k in enumerate(kind) if k == OLD])
@@ -233,13 +263,49 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({**{k: cols[k] for k in ("row_no", "thread", "mid", "said", "at", "sender")}, **out}, schema=_TYPES)
 
 
-def not_authored(messages: DataFrame, min_run: int = 2, min_words: int = 10) -> DataFrame:
+def learn(messages: DataFrame) -> Learned:
+    """The closings and notices that recur among all ``messages`` (body, sender, thread), by counts over their unquoted lines.
+
+    Lines are exploded and normalised.  A short line that is followed by
+    another short one without a full stop, as a name is, closes; it is
+    learned if ``CLOSING_MOSTLY`` of its places are such, in
+    ``CLOSING_SHARE`` of all mails and of several senders.  Sentences are
+    those of paragraphs with their line breaks undone.  Those with one of
+    ``MARKERS`` that recur are notices, and so are others that stand
+    ``BESIDE`` them nearly always, counted over the mails that hold a marked
+    one.  All counts are aggregates combined before the shuffle.  What is
+    learned, and so what is sent to the tasks, is bounded by the shares: at
+    most 200,000 times the sentences, and a thousand times the short lines,
+    of an average mail.
+    """
+    lines = F.transform(F.split("body", "\n"), lambda x: F.when(x.rlike(r"^\s{0,4}[>|]"), "").otherwise(F.btrim(x, F.lit(" \t\r"))))
+    rows = messages.select("sender", F.xxhash64("thread").alias("t"), lines.alias("lines"))
+    filled = F.filter("lines", lambda x: x != "")
+    follow = F.transform(F.sequence(F.lit(1), F.size("f")), lambda i: F.struct(F.get("f", i - 1).alias("line"), F.coalesce(F.get("f", i), F.lit("")).alias("next")))
+    short = rows.select("sender", filled.alias("f")).where(F.size("f") > 0).select("sender", F.explode(F.filter(follow, lambda p: (F.length(p["line"]) <= 32) & (F.size(F.split(p["line"], " ")) <= 4) & ~p["line"].rlike(r"[?:;]$|^[-–—]"))).alias("p"))
+    named = (F.length("p.next") <= 32) & F.col("p.next").rlike(r"^(?:[-–—] ?)?\p{L}[\p{L}\p{M}'’.-]*(?: [\p{L}\p{M}'’.-]+){0,3}$") & ~F.col("p.next").rlike(r"[.?!]$")
+    total = rows.count()
+    counts = short.groupBy(F.rtrim(F.lower("p.line"), F.lit(",.! ")).alias("line")).agg(F.count(F.lit(1)).alias("n"), F.count_if(named).alias("closes"), F.min("sender").alias("s0"), F.max("sender").alias("s1"))
+    closing = counts.where((F.col("closes") >= F.greatest(F.lit(3.0), F.lit(total * CLOSING_SHARE))) & (F.col("closes") >= CLOSING_MOSTLY * F.col("n")) & (F.col("s0") != F.col("s1")) & (F.col("line") != ""))
+    text = F.array_join("lines", "\n")
+    paragraphs = F.filter(F.split(text, "\n{2,}"), lambda p: p != "")
+    sentences = F.transform(paragraphs, lambda p: F.transform(F.split(F.lower(F.regexp_replace(F.btrim(p, F.lit("\n")), r"\s+", " ")), r"(?<=[.?!])\s+"), lambda x: F.struct(x.alias("x"), x.rlike(MARKERS).alias("m"))))
+    beside = lambda q: F.transform(q, lambda x, i: F.struct(x["x"].alias("x"), x["m"].alias("m"), (F.coalesce(F.get(q, i - 1)["m"], F.lit(False)) | F.coalesce(F.get(q, i + 1)["m"], F.lit(False))).alias("near")))
+    long = F.filter(F.flatten(F.transform(sentences, beside)), lambda x: F.size(F.split(x["x"], " ")) >= NOTICE_WORDS)
+    every = rows.where(F.lower(text).rlike(MARKERS)).select("t", F.explode(long).alias("x")).select(F.xxhash64(F.when(F.col("x.m"), F.regexp_replace("x.x", "[0-9]+", "0")).otherwise(F.col("x.x"))).alias("h"), "t", "x.m", "x.near")
+    seen = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("near"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("m").alias("m"))
+    least = F.lit(total * MARKED_SHARE)
+    notice = seen.where((F.col("t0") != F.col("t1")) & (F.col("m") & (F.col("n") >= F.greatest(F.lit(2.0), least)) | (F.col("n") >= F.greatest(F.lit(3.0), least)) & (F.col("near") >= BESIDE * F.col("n"))))
+    return Learned(frozenset(r.line for r in closing.select("line").collect()), frozenset(r.h for r in notice.select("h").collect()))
+
+
+def not_authored(messages: DataFrame, min_run: int = 2, min_words: int = 10, min_alone: int = 16) -> DataFrame:
     """Each line (row_no, line_no) of a body that is not blank and not newly written by its sender.
 
     Lines are exploded and normalised with the marks of mail programs read
     (quotation marks, introductions, notices, closings).  What is left is
     ranked by date in its thread: a run of at least ``min_run`` sentences and
-    ``min_words`` words that another message of the thread wrote first, in
+    ``min_words`` words, or of ``min_alone`` words, that another message of the thread wrote first, in
     the same order, is earlier mail although unmarked.  Short last lines that
     the sender repeats in another message are signatures.
 
@@ -260,7 +326,8 @@ def not_authored(messages: DataFrame, min_run: int = 2, min_words: int = 10) ->
         F.lower(F.trim("sender")).alias("sender"),
         "body",
     )
-    parsed = cut(rows.mapInArrow(_parse, _PARSED))
+    learned = learn(rows)
+    parsed = cut(rows.mapInArrow(lambda batches: _parse(batches, learned), _PARSED))
     marked = parsed.select("row_no", F.explode("old").alias("line_no"))
 
     tails = parsed.where("sender is not null").select("row_no", "mid", F.xxhash64("sender").alias("s"), F.explode("tails").alias("t")).select("row_no", "mid", F.xxhash64("s", "t.h").alias("key"), F.col("t.line").alias("line_no"))
@@ -277,7 +344,7 @@ def not_authored(messages: DataFrame, min_run: int = 2, min_words: int = 10) ->
     island = seen.withColumn("island", F.col("idx") - F.row_number().over(own))
     same = Window.partitionBy("row_no", "src", "shift").orderBy("idx")
     core = island.withColumn("run", F.col("idx") - F.row_number().over(same)).groupBy("row_no", "island", "src", "shift", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    cores = core.groupBy("row_no", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max((F.col("n") >= min_run) & (F.col("words") >= min_words)).alias("good")).where("good")
+    cores = core.groupBy("row_no", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max((F.col("n") >= min_run) & (F.col("words") >= min_words) | (F.col("words") >= min_alone)).alias("good")).where("good")
     spots = parsed.select("row_no", F.explode("spots").alias("s")).select("row_no", F.col("s.line").alias("line_no"), F.col("s.first").alias("a"), F.col("s.last").alias("b"))
     unmarked = spots.join(cores, "row_no").where("lo <= a and b <= hi").select("row_no", "line_no")
     return marked.unionAll(signed).unionAll(unmarked).distinct()

@@ -37,6 +37,10 @@ def p5_clock_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return clock_offsets(read_table(spark, folder, "messages"))
 
 
+def p5_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations(read_table(spark, folder, "messages"), correct_clocks=True)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     mail, evidence = read_table(spark, folder, "messages"), read_table(spark, folder, "evidence")
     parts = [personal_spans(mail, "body", "row_no", "body"), personal_spans(mail, "snippet", "row_no", "snippet"), personal_spans(evidence, "quote", "evidence_id", "quote")]
@@ -55,7 +59,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_stretches(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_clock_offsets, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_clock_offsets, p5_corrected, p6_found, p7_ids, p8_found, p9_found)}
 
 _BARE = r"nullif(regexp_replace({0}, '^[\s<>]+|[\s<>]+$', '', 'g'), '')"
 
