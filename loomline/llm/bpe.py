@@ -20,10 +20,10 @@ class Merges:
         with open(path, "rb") as lines:
             self.ids = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes = {i: b for b, i in self.ids.items()}
-        #: No token is longer; a token that is still to come begins at most so many bytes before the end.
-        self.lookahead = max(map(len, self.ids))
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._merged: dict[bytes, list[bytes]] = {}
+        #: The sufficient look-ahead: no token that the merges can reach is longer, so one that is still to come begins at most so many bytes before the end.
+        self.lookahead = next(len(t) for t in sorted(self.ids, key=len, reverse=True) if self.whole(t))
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The tokens of a short piece, by applying the merges in order of rank."""
@@ -138,7 +138,7 @@ class PieceTransducer:
 
 
 class Encoder:
-    """Texts to ids.  Pieces of ordinary length are remembered; longer ones stream through the transducer."""
+    """Texts to ids by ``StreamEncoder``; ids of pieces of ordinary length are remembered."""
 
     def __init__(self, merges: Merges, remembered: int = 400_000, short: int = 64):
         self.m, self.split, self.short = merges, regex.compile(PATTERN), short
@@ -146,56 +146,98 @@ class Encoder:
         self.remembered = remembered
 
     def piece(self, text: str) -> tuple[int, ...]:
-        raw = text.encode()
-        whole = self.m.ids.get(raw)
-        if whole is not None and self.m.whole(raw):
-            return (whole,)
-        if len(raw) <= self.short:
-            # within the lookahead the transducer would hold all back until the end
-            return tuple(self.m.ids[x] for x in self.m.merge(raw))
-        stream = PieceTransducer(self.m)
-        return (*stream.feed(raw), *stream.finish())
-
-    def encode(self, text: str | None) -> list[int]:
+        """The ids of one piece.  Up to ``short`` bytes the transducer would hold all back, so its merges are applied at once."""
+        ids = self.known.get(text)
+        if ids is None:
+            raw = text.encode()
+            if len(raw) <= self.short:
+                ids = tuple(self.m.ids[x] for x in self.m.merge(raw))
+                if len(self.known) >= self.remembered:
+                    self.known.clear()
+                self.known[text] = ids
+            else:
+                stream = PieceTransducer(self.m)
+                ids = (*stream.feed(raw), *stream.finish())
+        return ids
+
+    def encode(self, text: str | None, chunk: int = 1 << 16) -> list[int]:
+        """The ids of a text, which is read in parts of ``chunk`` characters."""
         out: list[int] = []
-        if not text:
-            return out
-        known = self.known
-        for word in self.split.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.piece(word)
-                if len(word) <= self.short:
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    known[word] = ids
-            out.extend(ids)
+        if text:
+            stream = StreamEncoder(self)
+            for at in range(0, len(text), chunk):
+                out += stream.feed(text[at : at + chunk])
+            out += stream.finish()
         return out
 
 
 class StreamEncoder:
-    """Encodes a text that arrives in parts, holding back only what a later part can change."""
+    """Encodes a text that arrives in parts, holding back only what a later part can change.
+
+    Pieces that have ended are encoded at once.  A piece that goes on for
+    more than ``LONG`` characters is not gathered: its transducer takes it as
+    it comes, so what is held is bounded whatever the text.
+    """
 
     #: Characters after the end of a piece that the pattern looks at: two of a contraction.
-    AHEAD = 3
+    AHEAD, LONG = 3, 512
+    _RUNS = tuple(regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+"))
 
     def __init__(self, encoder: Encoder):
         self.e, self.held = encoder, ""
+        self.open: PieceTransducer | None = None
+        self.run = self._RUNS[0]
 
     def feed(self, part: str) -> list[int]:
+        out: list[int] = []
+        if self.open is not None:
+            part = self._extend(part, out)
+            if self.open is not None:
+                return out
         self.held += part
-        out, done = [], 0
+        last, done, piece = len(self.held) - self.AHEAD, 0, self.e.piece
         for m in self.e.split.finditer(self.held):
-            if m.end() > len(self.held) - self.AHEAD:
+            end = m.end()
+            if end > last:
                 break
-            out += self.e.encode(m.group())
-            done = m.end()
+            out += piece(m.group())
+            done = end
         self.held = self.held[done:]
+        if len(self.held) > self.LONG:
+            # what is left begins with one piece that has not ended
+            first = self.e.split.match(self.held).group()
+            self.run = next(r for r in self._RUNS if r.match(first[-1]))
+            self.open, part, self.held = PieceTransducer(self.e.m), self.held, ""
+            if first[0] == " " and self.run is not self._RUNS[2]:
+                out += self.open.feed(b" ")
+                part = part[1:]
+            rest = self._extend(part, out)
+            if self.open is None:
+                self.held = rest
         return out
 
+    def _extend(self, part: str, out: list[int]) -> str:
+        """Give the open piece what of ``part`` belongs to it; what does not is returned, and the piece ended."""
+        text, self.held = self.held + part, ""
+        m = self.run.match(text)
+        end = m.end() if m else 0
+        # the last of a run of spaces may begin the next piece
+        keep = 1 if self.run is self._RUNS[2] and end else 0
+        out += self.open.feed(text[: end - keep].encode())
+        if end == len(text):
+            self.held = text[end - keep :] if keep else ""
+            return ""
+        out += self.open.finish()
+        self.open = None
+        return text[end - keep :]
+
     def finish(self) -> list[int]:
         held, self.held = self.held, ""
-        return self.e.encode(held)
+        if self.open is not None:
+            out = [*self.open.feed(held.encode()), *self.open.finish()]
+            self.open = None
+            return out
+        return [i for word in self.e.split.findall(held) for i in self.e.piece(word)]
 
 
 def decode_stream(merges: Merges, ids: Iterable[int]) -> Iterator[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,11 @@ def token_ids(text: Column, path: str | None = None) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder(file).encode
         for texts in batches:
-            yield pa.array([encode(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
+            flat, ends = array("i"), [0]
+            for x in texts.to_pylist():
+                flat.extend(encode(x))
+                ends.append(len(flat))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
 
     return ids(text)
 
