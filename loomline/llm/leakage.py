@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loomline.llm.winnowing import window_minima
+from loomline.operators.deliveries import maybe_repeated, repeated_filter
+from loomline.operators.skew import join_hot
 from loomline.runtime import cut, ship
 
-#: Fingerprints of evaluation texts that may be sent to every task; beyond that both sides are shuffled.
-MAX_BROADCAST = 500_000
+#: Bytes of evaluation texts and their fingerprints that may be sent to every task; beyond that both sides are shuffled.
+MAX_BROADCAST = 64_000_000
+#: Bytes that a fingerprint takes as Python holds it, and a character of a passage split into words.
+PRINT_BYTES, CHAR_BYTES = 200, 16
 
 WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,10 +85,12 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = 12, gram: int = 6
     """Each doc_id and item_id whose text and passage share at least ``span`` consecutive words.
 
     Fingerprints of both sides meet by hash; a hit counts if it extends to a
-    run of ``span`` words.  The fingerprints of the items are counted first:
-    up to ``max_broadcast`` they go to every task and the documents are read
-    once without a shuffle; beyond that the fingerprints of both sides are
-    joined by a shuffle, and the texts fetched again for the hits alone.
+    run of ``span`` words.  The items and their fingerprints are measured
+    first: up to ``max_broadcast`` bytes they go to every task and the
+    documents are read once without a shuffle.  Beyond that a filter of
+    16 MB drops the documents' fingerprints that no item has, the rest joins
+    by a shuffle that splits hot fingerprints, and the texts are fetched again
+    for the hits alone.  Both ways give the same rows.
 
     Null, empty and shorter texts have no hits, a repeated passage leaks
     under each of its item_ids, repeated rows come out once, an empty table
@@ -103,8 +109,10 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = 12, gram: int = 6
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(place.astype(np.int32)), pa.array(value.view(np.int64))], ["key", "place", "h"])
 
     prints = cut(tests.mapInArrow(prints_of, f"key {item_type}, place int, h bigint"))
-    if prints.count() <= max_broadcast:
-        passages = dict(tests.join(prints.select(F.col("key").alias("item_id")).distinct(), "item_id").collect())  # at most max_broadcast passages
+    held = tests.join(prints.select(F.col("key").alias("item_id")).distinct(), "item_id", "left_semi")
+    size = prints.count() * PRINT_BYTES + (held.agg(F.sum(F.length("text"))).first()[0] or 0) * CHAR_BYTES
+    if size <= max_broadcast:
+        passages = dict(held.collect())  # with the fingerprints at most max_broadcast bytes
         table = defaultdict(list)
         for item, place, h in prints.collect():
             table[h].append((item, place))
@@ -126,7 +134,9 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = 12, gram: int = 6
 
     ours = docs.mapInArrow(prints_of, f"key {doc_type}, place int, h bigint").select(F.col("key").alias("doc_id"), "h", F.col("place").alias("at"))
     theirs = prints.select(F.col("key").alias("item_id"), "h", F.col("place").alias("there"))
-    meet = ours.join(theirs, "h").drop("h").join(docs, "doc_id").join(tests.withColumnRenamed("text", "passage"), "item_id")
+    hits = cut(maybe_repeated(ours, repeated_filter(theirs, "h"), "h", "maybe").where("maybe").drop("maybe"))
+    met = cut(join_hot(hits, theirs, "h").drop("h"))
+    meet = docs.join(met, "doc_id").join(tests.withColumnRenamed("text", "passage"), "item_id")
 
     @F.pandas_udf("boolean")
     def holds(text, at, passage, there):

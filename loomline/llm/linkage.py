@@ -230,7 +230,7 @@ def accept(postings: DataFrame, kept: Kept, aliases: DataFrame | None = None) ->
 
     # what of a cluster was first, for the clusters that the batch touches
     of_batch = cut(keyed_rows.groupBy("opening").agg(F.min("pos").alias("low"), F.count(F.lit(1)).alias("n")))
-    placed = cut(current(of_batch, "opening", kept.probe("clusters", of_batch, "opening") if kept.done else None, clusters))
+    placed = cut(current(of_batch, "opening", kept.probe("clusters", of_batch.select(F.col("opening").alias("node")), "node") if kept.done else None, clusters))
     olds = changed.select(F.col("old").alias("rep"), F.col("rep").alias("now"))
     firsts = placed.groupBy("rep").agg(F.min("low").alias("first_pos"))
     earlier = None

@@ -11,7 +11,7 @@ from loomline.llm.leakage import leaked
 from loomline.llm.linkage import repeated_postings
 from loomline.llm.names import same_organisation
 from loomline.llm.pii import personal_spans
-from loomline.llm.spans import shared_stretches
+from loomline.llm.spans import repeated_lines, shared_amounts, shared_stretches
 from loomline.runtime import read_table
 
 
@@ -59,7 +59,15 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_stretches(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_clock_offsets, p5_corrected, p6_found, p7_ids, p8_found, p9_found)}
+def p9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines(read_table(spark, folder, "documents"))
+
+
+def p9_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_amounts(read_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_clock_offsets, p5_corrected, p6_found, p7_ids, p8_found, p9_found, p9_lines, p9_amounts)}
 
 _BARE = r"nullif(regexp_replace({0}, '^[\s<>]+|[\s<>]+$', '', 'g'), '')"
 
@@ -93,4 +101,10 @@ SQL = {
         c as (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 256 then 0 else 1 end as new from h where h in (select h from k)),
         g as (select doc_id, s, sum(new) over (partition by doc_id order by s) as g from c)
         select doc_id, cast(min(s) as int) as start_at, cast(max(s) + 256 as int) as end_at from g group by doc_id, g""",
+    "p9_lines": r"""
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null and doc_id is not null),
+        o as (select doc_id, line, cast(sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as int) as s from l),
+        u as (select doc_id, s, cast(s + length(line) as int) as e, lower(trim(regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g'), ' ')) as u from o),
+        f as (select *, first_value(doc_id) over w as fd, first_value(s) over w as fs from u where length(u) >= 40 window w as (partition by u order by doc_id, s))
+        select doc_id, s as start_at, e as end_at, fd as first_doc, fs as first_at from f where doc_id <> fd or s <> fs""",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomline.llm.winnowing import window_minima
@@ -156,3 +158,53 @@ def shared_amounts(documents: DataFrame, span: int = 256) -> DataFrame:
     part = shared_stretches(documents, span).groupBy("doc_id").agg(F.sum(F.col("end_at") - F.col("start_at")).alias("shared"))
     whole = documents.where("doc_id is not null and text is not null").select("doc_id", F.length("text").alias("n_chars"))
     return whole.join(part, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("shared", F.lit(0)).cast("int").alias("n_shared"))
+
+
+_BLANKS = re.compile(r"[ \t\r\f\v]+")
+
+
+def unit_text(line: str) -> str:
+    """A line as it is compared: lower case, runs of blanks one space, none at its ends."""
+    return _BLANKS.sub(" ", line).strip(" ").lower()
+
+
+def repeated_lines(documents: DataFrame, least: int = 40) -> DataFrame:
+    """Each line that an earlier place of the corpus has already (doc_id, start_at, end_at, first_doc, first_at).
+
+    Lines are normalised and their 128-bit digests grouped globally.  Of each
+    digest the earliest place by doc_id and offset is kept; the others come
+    out with the offsets of the line in the original text, and where it
+    stands first.  Groups are reduced to count and first place before the
+    shuffle, and the digests that repeat meet the lines by
+    ``join_key_facts``, so a line in a third of all documents is one row per
+    task.  Only lines of ``least`` characters or more, normalised, are looked
+    at.
+
+    Null and empty texts have no lines; repeated rows (equal doc_id and text)
+    are one place; null doc_ids are left out; an empty table gives an empty
+    result; further columns are not read.
+    """
+    ship(documents.sparkSession)
+    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, start, end, digest = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                at = 0
+                for line in text.split("\n"):
+                    unit = unit_text(line)
+                    if len(unit) >= least:
+                        owner.append(i)
+                        start.append(at)
+                        end.append(at + len(line))
+                        digest.append(xxhash.xxh3_128_digest(unit))
+                    at += len(line) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], ["doc_id", "start_at", "end_at", "digest"])
+
+    units = docs.mapInArrow(lines, f"doc_id {kind}, start_at int, end_at int, digest binary")
+    place = F.struct("doc_id", "start_at")
+    facts = cut(units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"))
+    later = join_key_facts(units, facts, "digest", "n").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start_at") != F.col("first.start_at")))
+    return later.select("doc_id", "start_at", "end_at", F.col("first.doc_id").alias("first_doc"), F.col("first.start_at").alias("first_at")).distinct()

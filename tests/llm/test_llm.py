@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.llm import authored, bpe, conversations, encoding, leakage, linkage, namekeys, names, pii, pii_train, queries, spans
+from loomline.llm.kept import Kept
 from loomline.llm.winnowing import window_minima
 
 VOCABULARY = bpe.vocabulary()
@@ -60,6 +61,24 @@ def test_streams_in_parts_and_back(tokenizer):
         assert "".join(bpe.decode_stream(e.m, ids)) == text
 
 
+def test_pieces_longer_than_a_part(tokenizer):
+    e, r = bpe.encoder(VOCABULARY), random.Random(5)
+    parts = ["a" * 700, "ab " * 30, " " * 900, "\n" * 600, "1" * 800, "!" * 700, "'", "'s", " ", "x", "é" * 520, "\t \n", "日本" * 300, "don't ", "?!" * 400, " word"]
+    for _ in range(60):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 6)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert all(e.encode(text, chunk) == want for chunk in (7, 513, 1 << 16))
+
+
+def test_held_state_is_bounded():
+    stream, most = bpe.StreamEncoder(bpe.encoder(VOCABULARY)), 0
+    for part in ["ab" * 2000] * 8 + [" " * 3000] * 4 + ["x y " * 800] * 4:
+        stream.feed(part)
+        most = max(most, len(stream.held) + (len(stream.open.tail) if stream.open else 0))
+    stream.finish()
+    assert most < 4 * bpe.StreamEncoder.LONG
+
+
 def test_corpus_encoding(spark):
     df = spark.createDataFrame([(1, "a b", 0), (2, None, 0), (3, "", 0), (1, "a b", 0)], "doc_id bigint, text string, ids int")
     out = encoding.encode_corpus(df)
@@ -146,6 +165,15 @@ def test_passage_twice_in_the_lowest_document(spark):
     assert {tuple(x) for x in spans.shared_stretches(df, span=40, gram=20).collect()} == _shared(docs, 40)
 
 
+def test_repeated_lines(spark):
+    line = "The same line stands in several of these documents."
+    docs = [(1, f"a\n{line}\nb"), (2, f"{line.upper()} \r\nx\n{line}"), (3, None), (4, ""), (2, f"{line.upper()} \r\nx\n{line}")]
+    df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id bigint, text string, n int")
+    n = len(line)
+    assert {tuple(x) for x in spans.repeated_lines(df).collect()} == {(2, 0, n + 2, 1, 2), (2, n + 5, 2 * n + 5, 1, 2)}
+    assert spans.repeated_lines(df.limit(0)).count() == 0
+
+
 # --- mail
 
 
@@ -175,7 +203,7 @@ def test_clock_offsets(spark):
     for i in range(20):
         t = f"t{i}"
         rows += [(4 * i + 1, f"a{i}", t, f"2025-09-01T11:{i:02}:00Z", "fast", "x", True), (4 * i + 2, f"b{i}", t, f"2025-09-01T10:{i:02}:30Z", "right", "y", False)]
-    got = {r.sender: r.offset_s for r in conversations.clock_offsets(_mail(spark, rows), rounds=12).collect()}
+    got = {r.sender: r.offset_s for r in conversations.clock_offsets(_mail(spark, rows)).collect()}
     assert got["fast"] - got["right"] > 3000
 
 
@@ -187,6 +215,40 @@ def test_clock_offsets_over_days(spark):
     assert got["fast"] > got["right"]
 
 
+def test_least_squares_solve_the_system(spark):
+    r = random.Random(13)
+    rows = [(f"s{r.randrange(8)}", f"s{r.randrange(8)}", float(r.randint(1, 90_000)), r.randint(1, 5)) for _ in range(60)]
+    rows = [x for x in rows if x[0] != x[1]]
+    at = {s: i for i, s in enumerate(sorted({x for a, b, *_ in rows for x in (a, b)}))}
+    m, g = np.eye(len(at)), np.zeros(len(at))
+    for a, b, gap, n in rows:
+        i, j = at[a], at[b]
+        m[i, i] += n
+        m[j, j] += n
+        m[i, j] -= n
+        m[j, i] -= n
+        g[i] += gap * n
+        g[j] -= gap * n
+    want = np.linalg.solve(m, g)
+    got = {x.x: x.o for x in conversations._least_squares(spark.createDataFrame(rows, "a string, b string, gap double, n int"), 1.0, 0.001).collect()}
+    assert all(abs(got[s] - want[i]) < 0.1 for s, i in at.items())
+
+
+def test_infeasible_conversations(spark):
+    import datetime as dt
+
+    def mail(n, t, s, written, received, me):
+        return (n, f"m{n}", t, f"2025-09-01T{written}:00Z", dt.datetime.fromisoformat(f"2025-09-01T{received}:00"), s, None, "x", me, "x")
+
+    rows = [x for i in range(30) for x in (mail(10 * i, f"t{i}", "fast", "12:00", "10:00", True), mail(10 * i + 1, f"t{i}", "right", "10:30", "10:31", False))]
+    rows += [mail(901, "odd", "right", "20:00", "09:00", True), mail(902, "odd", "calm", "09:30", "09:31", False), mail(903, "even", "right", "09:00", "09:01", False), mail(904, "even", "calm", "09:30", "09:31", True)]
+    rows += [x for i in range(30) for x in (mail(1000 + 10 * i, f"c{i}", "calm", "08:00", "08:00", True), mail(1001 + 10 * i, f"c{i}", "right", "08:30", "08:31", False))]
+    got = conversations.conversations(spark.createDataFrame(rows, MAIL), correct_clocks=True).collect()
+    assert {x.thread_id for x in got} >= {"t3", "even", "c4"} and "odd" not in {x.thread_id for x in got}
+    # the fast clock's mails come first once it is corrected
+    assert {(x.thread_id, x.turn_no): x.row_no for x in got if x.thread_id == "t3"} == {("t3", 1): 30, ("t3", 2): 31}
+
+
 BODIES = {
     "reply": ("Hi Ann,\nthis is new. It stays.\n\nKind regards,\nBob\n-- \nBob Lee\nT 1\n\nP.S. This is new too.\n\nOn Sat, Sep 6, 2025 at 10:28, Ann Lee\n<ann@x.example> wrote:\n> old\n>\n> old", {3, 4, 5, 6, 7, 11, 12, 13, 14, 15}),
     "between": ("Ann wrote on 2025-09-01:\n>one\n\nAnswer one is here.\n\n>two\n\nAnswer two is here.", {0, 1, 5}),
@@ -197,11 +259,14 @@ BODIES = {
 }
 
 
+LEARNED = authored.Learned(frozenset(["kind regards"]), frozenset(map(authored.sentence_hash, ["[EXTERNAL] Do not open links unless you know the sender.", "We monitor mail for quality and for the law.", "No contract is formed by this message."])))
+
+
 @pytest.mark.parametrize("name", BODIES)
 def test_line_classes(name):
     body, old = BODIES[name]
     for ending in ("\n", "\r\n"):
-        assert {i for i, k in enumerate(authored.classify(body.replace("\n", ending))) if k == authored.OLD} == old
+        assert {i for i, k in enumerate(authored.classify(body.replace("\n", ending), LEARNED)) if k == authored.OLD} == old
 
 
 def test_unmarked_history(spark):
@@ -213,6 +278,25 @@ def test_unmarked_history(spark):
     assert authored.not_authored(_mail(spark, rows).limit(0)).count() == 0
 
 
+def test_closings_and_notices_are_learned(spark):
+    r = random.Random(12)
+    word = lambda n: " ".join("".join(r.choice("abcdefgiou") for _ in range(6)) for _ in range(n))
+    rows, want = [], set()
+    for i in range(60):
+        body = f"Hej {word(1).title()},\n{word(8).capitalize()}.\n{word(5).capitalize()}.\n\nMed vänliga hälsningar\n{word(1).title()}\n\nThis email is intended only for the addressee {i}. Kindly shred\nit if you are not."
+        rows.append((i, f"m{i}", f"t{i}", "2025-09-01T10:00:00Z", f"s{i % 7}", body, True))
+        want |= {(i, n) for n in (4, 5, 7, 8)}
+    learned = authored.learn(_mail(spark, rows).withColumn("thread", F.col("thread_id")))
+    assert learned.closings == {"med vänliga hälsningar"} and authored.sentence_hash("Kindly shred it if you are not.") in learned.notices
+    assert {(x.row_no, x.line_no) for x in authored.not_authored(_mail(spark, rows)).collect()} == want
+
+
+def test_one_long_sentence_is_history(spark):
+    long = "The panel that met on the second floor last week wants to hear how you would plan the whole migration of it."
+    rows = [(1, "a", "t", "2025-09-01T10:00:00Z", "ann", f"Hello.\n{long}", True), (2, "b", "t", "2025-09-02T10:00:00Z", "bob", f"Yes, of course I do.\n\n{long}", False)]
+    assert {(x.row_no, x.line_no) for x in authored.not_authored(_mail(spark, rows)).collect()} == {(2, 2)}
+
+
 # --- names and postings
 
 
@@ -232,19 +316,52 @@ def test_banded_distance():
             assert namekeys.within(a, b, k) == (full(a, b) <= k)
 
 
-def test_segment_join_against_brute_force(spark):
+@pytest.mark.parametrize("steps", [namekeys.NAME_STEPS, namekeys.TITLE_STEPS])
+def test_segments_meet_all_slips(steps):
     r = random.Random(6)
-    base = ["".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(15)]
+    for _ in range(6000):
+        a = "".join(r.choice("abcd") for _ in range(r.randint(2, 17)))
+        x = list(a)
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(x) + 1)
+            how = r.randrange(4)
+            if how == 0:
+                x.insert(at, r.choice("abcd"))
+            elif at < len(x) and how == 1:
+                x[at] = r.choice("abcd")
+            elif at + 1 < len(x) and how == 2:
+                x[at : at + 2] = x[at + 1], x[at]
+            elif at < len(x) and len(x) > 1:
+                del x[at]
+        b = "".join(x)
+        if a != b and namekeys.slip(a, b, steps):
+            assert set(namekeys.segments(a, steps)) & namekeys.sought(b, steps), (a, b)
+
+
+def test_near_pairs_against_brute_force(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in (4, 5, 6, 7, 8, 9, 11, 12, 14) for _ in range(3)]
     cores = set(base)
     for b in base:
-        for _ in range(4):
+        for _ in range(5):
             x = list(b)
-            for _ in range(r.randint(1, 2)):
-                x[r.randrange(len(x))] = r.choice("abcdefgh")
+            for _ in range(r.randint(1, 3)):
+                i = r.randrange(len(x) - 1)
+                x[i : i + 2] = r.choice([[x[i + 1], x[i]], [x[i]], [r.choice("abcdefgh"), x[i + 1]], [x[i], "a", x[i + 1]]])
+                if len(x) < 3:
+                    break
             cores.add("".join(x))
-    nodes = spark.createDataFrame([(c, c) for c in sorted(cores)], "node string, core string")
-    got = {(x.a, x.b) for x in names.segment_join(nodes, nodes.withColumnRenamed("core", "text"), 2, [], 8).collect()}
-    assert got == {(a, b) for a in cores for b in cores if a != b and namekeys.within(a, b, 2) and sum(x != y for x, y in zip(a, b)) <= 2 or a != b and namekeys.within(a, b, 2) and (a, b) in got}
+    texts = spark.createDataFrame([(c, c) for c in sorted(cores)], "id string, text string")
+    for steps in (namekeys.NAME_STEPS, namekeys.TITLE_STEPS):
+        got = {(x.a, x.b) for x in names.near_pairs(names.keyed(texts, "sought", steps), names.keyed(texts, "held", steps), steps).collect()}
+        assert got == {(a, b) for a in cores for b in cores if a != b and namekeys.slip(a, b, steps)}
+
+
+def test_short_names(spark):
+    same = [("Siemens", "Seimens"), ("Ford", "Fordd"), ("Acme Robotics", "Acmee Robotics"), ("Nokia Ltd", "Nokai")]
+    other = ["WVTA", "WVTB", "IBM", "IBN"]
+    df = spark.createDataFrame([(x,) for p in same for x in p] + [(x,) for x in other], "company string")
+    assert {tuple(x) for x in names.same_organisation([df]).collect()} == {(min(p), max(p)) for p in same}
 
 
 def test_same_organisation(spark):
@@ -260,7 +377,16 @@ def test_same_organisation(spark):
 POSTING = "pos bigint, batch_no int, company string, title string, url string, first_pos int"
 
 
-def test_postings_in_any_batches(spark):
+def _in_batches(spark, rows, cuts, folder, aliases=None):
+    """What is found with a session's tables opened anew for each batch."""
+    df, best = spark.createDataFrame(rows, POSTING), {}
+    for b in cuts:
+        for r in linkage.accept(df.where(b), Kept(spark, folder, slots=3), aliases).collect():
+            best[r.pos] = min(r.first_pos, best.get(r.pos, r.first_pos))
+    return {(f, p) for p, f in best.items()}
+
+
+def test_postings_in_any_batches(spark, tmp_path):
     rows = [
         (1, 0, "Zedham Galcoza Logistics", "Senior Data Engineer, Freight Tooling", "https://x/jobs/1", 0), (2, 0, "Zedham Galcoza Logistics", "Data Engineer, Freight Storage", "https://x/jobs/1", 0),
         (3, 1, "ZEDHAM GALCOZA", "Freight Tooling — Data Engineer (Remote)", None, 0), (4, 1, "Zedham Glacoza Logist.", "Data Enginer, Freight Tooling", "", 0), (5, 2, "Zedham Gerjeta Laboratories", "Data Engineer, Freight Tooling", "https://x/jobs/1", 0),
@@ -269,24 +395,37 @@ def test_postings_in_any_batches(spark):
     want = {(1, 3), (1, 4), (2, 6)}
     df = spark.createDataFrame(rows, POSTING)
     assert {tuple(x) for x in linkage.repeated_postings(df).collect()} == want
-    state, got = None, set()
-    for b in range(3):
-        state, found = linkage.accept(df.where(f"batch_no = {b}"), state)
-        got |= {tuple(x) for x in found.collect()}
-    assert got == want
-    assert linkage.repeated_postings(df.limit(0)).count() == 0
+    assert _in_batches(spark, rows, ["batch_no < 2", "batch_no = 9", "batch_no = 2"], str(tmp_path)) == want
+
+
+def test_a_later_batch_bridges_two_clusters(spark, tmp_path):
+    # the third spelling is within reach of both others, which are not of each other
+    rows = [(1, 0, "Zedham Galcoza Logistics", "Curator", None, 0), (2, 0, "Zedhamabc Galcozabc Logistics", "Curator", None, 0), (3, 1, "Zedhama Galcozab Logistics", "Curator", None, 0), (4, 0, "Zedham Galcoza Logistics", "Nurse", None, 0), (5, 2, "Zedhamabc Galcozabc Logistics", "Nurse", None, 0)]
+    whole = {(1, 2), (1, 3), (4, 5)}
+    assert _in_batches(spark, rows, ["batch_no = 0", "batch_no = 1", "batch_no = 2"], str(tmp_path / "b")) == whole
+    kept = Kept(spark, str(tmp_path / "b"))
+    for table, key in (("segments", "key"), ("members", "opening"), ("firsts", "rep")):
+        kept.compact(table, key)
+    more = spark.createDataFrame([(9, 3, "Zedham Galcoza Logistics", "Nurse", None, 0)], POSTING)
+    assert {tuple(x) for x in linkage.accept(more, Kept(spark, str(tmp_path / "b"))).collect()} == {(4, 9)}
+
+
+def test_titles_with_slips_in_two_words_and_rivals(spark, tmp_path):
+    rows = [(1, 0, "Acme Ltd", "Data Engineer, Freight Tooling", None, 0), (2, 1, "Acme Ltd", "Data Enginer, Freight Tooling", None, 0), (3, 1, "Acme Ltd", "Data Enginer, Frieght Tooling", None, 0)]
+    # two words that are each as common as the other are no slips
+    rows += [(100 + i, 0, "Acme Ltd", f"{w} Clerk of Office {chr(97 + i)}{chr(98 + i)}qz", None, 0) for i in range(12) for w in (("Claims", "Chaims")[i % 2],)] + [(200, 0, "Acme Ltd", "Claims Clerk", None, 0), (201, 1, "Acme Ltd", "Chaims Clerk", None, 0)]
+    want = {(1, 2)}
+    got = _in_batches(spark, rows, ["batch_no = 0", "batch_no = 1"], str(tmp_path))
+    assert want <= got and (200, 201) not in got
 
 
-def test_employers_of_postings_link_as_organisations(spark):
+def test_employers_of_postings_link_as_organisations(spark, tmp_path):
     names_of = ["Quillmere National Observatory", "QNO", "Acme", "Acme Software", "Zedham Galcoza Tirvel Logistics", "Tirvel Zedham Galcoza Logistics", "Galcoza Tirvel Zedham Logistics", "Cindermoor Fells Trust", "Cindermoor"]
     want = {(0, 1), (2, 3), (4, 5), (4, 6), (7, 8)}
     aliases = spark.createDataFrame([("Quillmere National Observatory", "QNO")], "canonical string, spelling string")
     # the later a name here, the earlier it is met
     rows = [(i, int(i < 5), x, "Curator" if i % 2 else "Curatr", None, 0) for i, x in enumerate(names_of)]
-    df, state = spark.createDataFrame(rows, POSTING), None
-    for some in (df.where("batch_no = 0"), df.where("batch_no = 1"), df):
-        state, found = linkage.accept(some, state, aliases)
-    assert {tuple(x) for x in found.collect()} == want
+    assert _in_batches(spark, rows, ["batch_no = 0", "batch_no = 1"], str(tmp_path), aliases) == want
 
 
 # --- personal information
