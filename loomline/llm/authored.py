@@ -20,6 +20,11 @@ MARKERS = (
     r"\b(?:confidential|confidentiel|confidencial|vertraulich|confidenziale|privileged|addressee|intended (?:only )?for|intended recipient|disclaimer|registered (?:office|number)|company number|virus(?:es)?|scanned|unsubscribe|dictated|"
     r"sent from (?:my|a)|get \w+ for \w+|envoyé depuis|enviado desde|inviato da|skickat från|monitors? (?:e-?)?mails?|outside (?:of )?(?:the|your) organi[sz]ation)\b|von meinem .* gesendet|\[external\]"
 )
+#: Parts of which every text that ``MARKERS`` match has one.
+STEMS = (
+    "confiden", "vertraulich", "privileged", "addressee", "intended ", "disclaimer", "registered ", "company number", "virus", "scanned", "unsubscribe", "dictated", "sent from ", "get ", "envoyé depuis", "enviado desde", "inviato da",
+    "skickat från", "monitor", "outside ", "gesendet", "[external]",
+)
 #: Sentences of so many words or more are looked at.
 NOTICE_WORDS = 3
 #: A sentence with one of ``MARKERS`` is a notice once it recurs in so great a share of all mails, and in two of several threads.
@@ -68,7 +73,9 @@ def closing_text(line: str) -> str:
 def sentence_hash(sentence: str) -> int:
     """Of a sentence in lower case with single spaces, numbers of a marked one alike; the same as the built-in ``xxhash64``."""
     text = " ".join(sentence.lower().split())
-    value = xxhash.xxh64_intdigest(_DIGITS.sub("0", text) if _MARKED.search(text) else text, seed=42)
+    if _DIGITS.search(text) and _MARKED.search(text):
+        text = _DIGITS.sub("0", text)
+    value = xxhash.xxh64_intdigest(text, seed=42)
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -116,7 +123,8 @@ def classify(body: str, learned: Learned = Learned()) -> list[int]:
         if not (alone and _BROKEN_OFF.match(lines[i])):
             kind[i] = OLD
 
-    notices = notice_lines(lines, kind, learned.notices)
+    low = body.lower()
+    notices = notice_lines(lines, kind, learned.notices) if any(stem in low for stem in STEMS) else []
     for i in notices:
         kind[i] = OLD
     told_notice = set(notices)
@@ -263,6 +271,46 @@ def _parse(batches: Iterator[pa.RecordBatch], learned: Learned) -> Iterator[pa.R
         yield pa.RecordBatch.from_pydict({**{k: cols[k] for k in ("row_no", "thread", "mid", "said", "at", "sender")}, **out}, schema=_TYPES)
 
 
+_NAMED = re.compile(r"(?:[-–—] ?)?[^\W\d_][\w'’.-]{0,20}(?: [\w'’.-]{1,20}){0,3}(?<![.?!])$")
+_EVIDENCE = pa.schema([("line", pa.string()), ("h", pa.int64()), ("n", pa.int64()), ("hits", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("marked", pa.bool_())])
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each batch: of short lines, how often they stand and how often a name follows; of sentences of mails with a marked one, how often they stand and how often beside it."""
+    for batch in batches:
+        lines: dict[str, list] = {}
+        sentences: dict[int, list] = {}
+        for sender, thread, body in zip(*(c.to_pylist() for c in batch.columns)):
+            unquoted = ["" if _QUOTED.match(x) else x.strip() for x in body.split("\n")]
+            filled = [x for x in unquoted if x]
+            for i, x in enumerate(filled):
+                if len(x) <= 32 and x[0] not in "-–—" and x[-1] not in "?:;" and x.count(" ") <= 3:
+                    closes = i + 1 < len(filled) and len(filled[i + 1]) <= 40 and _NAMED.match(filled[i + 1]) is not None
+                    _count(lines, closing_text(x), closes, sender)
+            low = body.lower()
+            if any(stem in low for stem in STEMS):
+                for block in "\n".join(unquoted).split("\n\n"):
+                    parts = _SENTENCE.split(block.replace("\n", " ").strip())
+                    marked = [_MARKED.search(x.lower()) is not None for x in parts]
+                    for i, x in enumerate(parts):
+                        if x.count(" ") >= NOTICE_WORDS - 1:
+                            beside = i > 0 and marked[i - 1] or i + 1 < len(parts) and marked[i + 1]
+                            _count(sentences, sentence_hash(x), beside, thread)[4] |= marked[i]
+        rows = [(k, None, *v) for k, v in lines.items() if k] + [(None, k, *v) for k, v in sentences.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _EVIDENCE)], schema=_EVIDENCE) if rows else pa.RecordBatch.from_pylist([], _EVIDENCE)
+
+
+def _count(counts: dict, key, hit: bool, of: int) -> list:
+    entry = counts.get(key)
+    if entry is None:
+        entry = counts[key] = [1, int(hit), of, of, False]
+    else:
+        entry[0] += 1
+        entry[1] += hit
+        entry[2], entry[3] = min(entry[2], of), max(entry[3], of)
+    return entry
+
+
 def learn(messages: DataFrame) -> Learned:
     """The closings and notices that recur among all ``messages`` (body, sender, thread), by counts over their unquoted lines.
 
@@ -272,30 +320,19 @@ def learn(messages: DataFrame) -> Learned:
     ``CLOSING_SHARE`` of all mails and of several senders.  Sentences are
     those of paragraphs with their line breaks undone.  Those with one of
     ``MARKERS`` that recur are notices, and so are others that stand
-    ``BESIDE`` them nearly always, counted over the mails that hold a marked
-    one.  All counts are aggregates combined before the shuffle.  What is
+    ``BESIDE`` them nearly always, counted over the mails that hold a marker.
+    Counts are taken by batch before they are shuffled.  What is
     learned, and so what is sent to the tasks, is bounded by the shares: at
     most 200,000 times the sentences, and a thousand times the short lines,
     of an average mail.
     """
-    lines = F.transform(F.split("body", "\n"), lambda x: F.when(x.rlike(r"^\s{0,4}[>|]"), "").otherwise(F.btrim(x, F.lit(" \t\r"))))
-    rows = messages.select("sender", F.xxhash64("thread").alias("t"), lines.alias("lines"))
-    filled = F.filter("lines", lambda x: x != "")
-    follow = F.transform(F.sequence(F.lit(1), F.size("f")), lambda i: F.struct(F.get("f", i - 1).alias("line"), F.coalesce(F.get("f", i), F.lit("")).alias("next")))
-    short = rows.select("sender", filled.alias("f")).where(F.size("f") > 0).select("sender", F.explode(F.filter(follow, lambda p: (F.length(p["line"]) <= 32) & (F.size(F.split(p["line"], " ")) <= 4) & ~p["line"].rlike(r"[?:;]$|^[-–—]"))).alias("p"))
-    named = (F.length("p.next") <= 32) & F.col("p.next").rlike(r"^(?:[-–—] ?)?\p{L}[\p{L}\p{M}'’.-]*(?: [\p{L}\p{M}'’.-]+){0,3}$") & ~F.col("p.next").rlike(r"[.?!]$")
+    rows = messages.select(F.xxhash64("sender").alias("sender"), F.xxhash64("thread").alias("thread"), "body")
     total = rows.count()
-    counts = short.groupBy(F.rtrim(F.lower("p.line"), F.lit(",.! ")).alias("line")).agg(F.count(F.lit(1)).alias("n"), F.count_if(named).alias("closes"), F.min("sender").alias("s0"), F.max("sender").alias("s1"))
-    closing = counts.where((F.col("closes") >= F.greatest(F.lit(3.0), F.lit(total * CLOSING_SHARE))) & (F.col("closes") >= CLOSING_MOSTLY * F.col("n")) & (F.col("s0") != F.col("s1")) & (F.col("line") != ""))
-    text = F.array_join("lines", "\n")
-    paragraphs = F.filter(F.split(text, "\n{2,}"), lambda p: p != "")
-    sentences = F.transform(paragraphs, lambda p: F.transform(F.split(F.lower(F.regexp_replace(F.btrim(p, F.lit("\n")), r"\s+", " ")), r"(?<=[.?!])\s+"), lambda x: F.struct(x.alias("x"), x.rlike(MARKERS).alias("m"))))
-    beside = lambda q: F.transform(q, lambda x, i: F.struct(x["x"].alias("x"), x["m"].alias("m"), (F.coalesce(F.get(q, i - 1)["m"], F.lit(False)) | F.coalesce(F.get(q, i + 1)["m"], F.lit(False))).alias("near")))
-    long = F.filter(F.flatten(F.transform(sentences, beside)), lambda x: F.size(F.split(x["x"], " ")) >= NOTICE_WORDS)
-    every = rows.where(F.lower(text).rlike(MARKERS)).select("t", F.explode(long).alias("x")).select(F.xxhash64(F.when(F.col("x.m"), F.regexp_replace("x.x", "[0-9]+", "0")).otherwise(F.col("x.x"))).alias("h"), "t", "x.m", "x.near")
-    seen = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("near"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("m").alias("m"))
-    least = F.lit(total * MARKED_SHARE)
-    notice = seen.where((F.col("t0") != F.col("t1")) & (F.col("m") & (F.col("n") >= F.greatest(F.lit(2.0), least)) | (F.col("n") >= F.greatest(F.lit(3.0), least)) & (F.col("near") >= BESIDE * F.col("n"))))
+    counts = rows.mapInArrow(_evidence, "line string, h bigint, n bigint, hits bigint, lo bigint, hi bigint, marked boolean")
+    seen = cut(counts.groupBy("line", "h").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("marked").alias("marked")).where("lo != hi"))
+    closing = seen.where(F.col("line").isNotNull() & (F.col("hits") >= max(3.0, total * CLOSING_SHARE)) & (F.col("hits") >= CLOSING_MOSTLY * F.col("n")))
+    marked, other = F.col("marked") & (F.col("n") >= max(2.0, total * MARKED_SHARE)), (F.col("n") >= max(3.0, total * MARKED_SHARE)) & (F.col("hits") >= BESIDE * F.col("n"))
+    notice = seen.where(F.col("line").isNull() & (marked | other))
     return Learned(frozenset(r.line for r in closing.select("line").collect()), frozenset(r.h for r in notice.select("h").collect()))
 
 
