@@ -7,7 +7,15 @@ from pyspark.sql import Column, functions as F
 # Words that do not tell companies, or titles, apart.
 COMPANY_NOISE = "inc llc ltd limited corp corporation co company holdings group technologies technology labs laboratory laboratories national the".split()
 TITLE_NOISE = r"senior|sr|staff|principal|lead|ii|iii|iv|i|1|2|3|4|level|l\d|remote|us|usa|contract|full[\s-]?time"
-TOKEN_NOISE = (*COMPANY_NOISE, "and", "of", "for", "inc", "plc", "gmbh")
+TOKEN_NOISE = (
+    "the inc llc ltd corp corporation company co group holdings national laboratory laboratories labs lab technologies technology systems solutions services and of for university institute center centre"
+).split()
+# Words that stand in so many names of employers that they tell none apart.
+GENERIC = (
+    "scientific sciences science technologies technology systems solutions services international global partners holdings ventures capital associates consulting research institute university college school "
+    "energy health medical digital software data company corporation industries enterprises america usa worldwide biosciences pharmaceuticals therapeutics"
+).split()
+LEGAL = "inc|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|sa|nv|bv|ag|pty|holdings"
 
 
 def text(c: Column | str) -> Column:
@@ -80,8 +88,56 @@ def company_tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(text(c)), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*TOKEN_NOISE))
 
 
+def is_employer_host(host: Column, company: Column | str) -> Column:
+    """Whether a host is a company's own: one of its telling words in the last three labels, or a label that is the acronym of its name."""
+    labels = F.split(host, r"\.")
+    core = F.when(F.size(labels) > 2, F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")).otherwise(host)
+    flat, tokens = F.regexp_replace(core, "[^a-z0-9]", ""), company_tokens(company)
+    words = F.filter(F.split(F.lower(text(company)), "[^a-z0-9]+"), lambda w: ~w.isin("", "the", "of", "and", "for", "a"))
+    acronym = F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), "")
+    told = F.exists(tokens, lambda t: flat.contains(t)) | ((F.length(acronym) >= 3) & F.array_contains(labels, acronym))
+    return (host != "") & (F.size(tokens) > 0) & told
+
+
+def legal_words(c: Column | str) -> Column:
+    """Lower case words of a company without legal forms."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text(c), rf"(?i)\b({LEGAL})\b\.?", " ")), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def board_slugs(c: Column | str) -> Column:
-    """Up to three names a board may have: words joined, words hyphened, first word."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text(c), r"(?i)\b(inc|llc|ltd|limited|corp|corporation|co|company|plc|gmbh)\b\.?", " ")), "[^a-z0-9]+"), lambda w: w != "")
-    every = F.array(F.array_join(words, ""), F.array_join(words, "-"), F.coalesce(F.get(words, F.lit(0)), F.lit("")))
+    """Up to three names a board may have: words joined, words hyphened, first of several words."""
+    words = legal_words(c)
+    every = F.array(F.array_join(words, ""), F.array_join(words, "-"), F.when(F.size(words) > 1, F.get(words, F.lit(0))).otherwise(""))
     return F.slice(F.array_distinct(F.filter(every, lambda s: F.length(s) > 1)), 1, 3)
+
+
+def is_specific(slug: Column, company: Column | str) -> Column:
+    """Whether a board's name carries all words of a company, not only the first."""
+    words = legal_words(company)
+    return (F.size(words) <= 1) | (slug == F.array_join(words, "")) | (slug == F.array_join(words, "-"))
+
+
+def same_employer(a: Column | str, b: Column | str) -> Column:
+    """Whether two names are one employer's: equal keys, or telling words in common that make at least half of the shorter name."""
+    ka, kb = company_key(a), company_key(b)
+    ta, tb = F.array_distinct(F.split(ka, r"\s+")), F.array_distinct(F.split(kb, r"\s+"))
+    shared = F.filter(F.array_intersect(ta, tb), lambda w: ~w.isin(*GENERIC) & (F.length(w) > 3))
+    return F.when((ka == "") | (kb == ""), False).when(ka == kb, True).otherwise((F.size(shared) > 0) & (F.size(shared) / F.least(F.size(ta), F.size(tb)) >= 0.5))
+
+
+def profile_slug(url: Column | str) -> Column:
+    """The name under which a profile address knows a person, in lower case; "" for other addresses."""
+    return F.lower(F.regexp_extract(F.trim(text(url)), r"(?i)/in/([^/?#]+)", 1))
+
+
+def connection_identity(url: Column | str, name: Column | str, email: Column | str) -> Column:
+    """The profile address, or else name and mail address, in lower case."""
+    at = F.regexp_replace(text(url), "/+$", "")
+    return F.lower(F.when(text(url) != "", at).otherwise(F.concat(text(name), F.lit("|"), text(email))))
+
+
+def holds_word(c: Column | str, word: str) -> Column:
+    """Whether a text has a word, unbroken by letters, digits or underscores on either side."""
+    import re
+
+    return text(c).rlike(rf"(?U)(?<!\w){re.escape(word)}(?!\w)")

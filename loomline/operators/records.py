@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomline.functions import dates, keys, scores, wording
+from loomline.operators.skew import join_key_facts
+from loomline.runtime import cut
 
 
 def gate(state: Column, on_unknown: str = "include") -> Column:
@@ -43,17 +45,38 @@ def title_state(title: Column, without: list[str], required: list[str]) -> Colum
     return F.when(F.trim(low) == "", None).otherwise(~bad & good)
 
 
-def deduplicated(postings: DataFrame, id_column: str, pair: list[str], order: str) -> DataFrame:
-    """Each posting's first by ``order`` of its id, and of those the first of its pair of non-empty keys.
+def deduplicated(postings: DataFrame, id_column: str, pair: list[str], order: str, seen: DataFrame | None = None) -> DataFrame:
+    """Postings without repetitions: by ``order`` each is kept unless one kept before it has its id or its pair of non-empty keys.
 
-    Both steps are aggregates that keep one ``order`` per key before the
-    shuffle.  A row dropped for its id does not claim its pair.
+    A dropped row claims neither its id nor its pair.  Rows with equal id and
+    pair fall to the first of them at once, by an aggregate.  The rest is
+    decided in rounds: a row that is first of both its groups among those
+    undecided is kept, and what shares a key with a kept one is dropped;
+    rounds end when none is undecided, however many that takes.  ``seen``
+    are rows kept earlier, with the same columns; nothing that repeats them
+    is kept.  Null ids and orders are values like others; an empty table
+    gives an empty result.
     """
-    first = postings.groupBy(id_column).agg(F.min(order).alias("ll_first")).select("ll_first")
-    kept = postings.join(first, F.col(order) == F.col("ll_first")).drop("ll_first")
     whole = (F.col(pair[0]) != "") & (F.col(pair[1]) != "")
-    pairs = kept.where(whole).groupBy(*pair).agg(F.min(order).alias("ll_first")).select("ll_first")
-    return kept.where(~whole).unionAll(kept.where(whole).join(pairs, F.col(order) == F.col("ll_first")).drop("ll_first"))
+    keyed = lambda t: t.select(F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit("\u0000"))).alias("ll_i"), F.when(whole, F.xxhash64(*pair)).alias("ll_p"), *([F.col(order).alias("ll_o")] if order in t.columns else []))
+    open_ = cut(keyed(postings).groupBy("ll_i", "ll_p").agg(F.min("ll_o").alias("ll_o")))
+    if seen is not None:
+        old = keyed(seen)
+        open_ = cut(open_.join(old.select("ll_i").distinct(), "ll_i", "left_anti").join(old.select("ll_p").where("ll_p is not null").distinct(), "ll_p", "left_anti"))
+    kept = None
+    while True:
+        first_i, first_p = (open_.where(f"{k} is not null").groupBy(k).agg(F.min("ll_o").alias(f"{k}_first"), F.count(F.lit(1)).alias(f"{k}_n")) for k in ("ll_i", "ll_p"))
+        by_i = join_key_facts(open_, first_i, "ll_i", "ll_i_n").drop("ll_i_n")
+        by_p = join_key_facts(by_i, first_p, "ll_p", "ll_p_n").drop("ll_p_n").unionByName(by_i.where("ll_p is null").withColumn("ll_p_first", F.col("ll_o")))
+        told = cut(by_p.withColumn("ll_keep", (F.col("ll_o") == F.col("ll_i_first")) & (F.col("ll_o") == F.col("ll_p_first"))))
+        now = told.where("ll_keep").select("ll_i", "ll_p", "ll_o")
+        kept = now if kept is None else kept.unionAll(now)
+        rest = told.where("not ll_keep").select("ll_i", "ll_p", "ll_o")
+        rest = rest.join(now.select("ll_i"), "ll_i", "left_anti").join(now.select("ll_p").where("ll_p is not null"), "ll_p", "left_anti")
+        open_ = cut(rest)
+        if open_.isEmpty():
+            break
+    return postings.join(kept.select(F.col("ll_o")), F.col(order) == F.col("ll_o"), "left_semi")
 
 
 def best_per_key(df: DataFrame, key: str, order: list[Column], keep: int = 1) -> DataFrame:
@@ -76,16 +99,6 @@ def scored(postings: DataFrame, today: str) -> DataFrame:
     return postings.withColumns({"age_days": age, "recency": F.bround(fresh).cast("int"), "composite": scores.composite(F.col("fit_score"), F.col("likelihood"), fresh)})
 
 
-def correspondents(messages: DataFrame) -> DataFrame:
-    """Per counterpart address: mails sent and received, last of each, distinct subjects."""
-    who = F.lower(F.trim(F.coalesce(F.when(F.col("from_me"), F.col("recipient")).otherwise(F.col("sender")), F.lit(""))))
-    rows = messages.select(who.alias("address"), F.coalesce("from_me", F.lit(False)).alias("me"), "received_at", wording.clean_subject("subject").alias("subject"))
-    return rows.where("address != ''").groupBy("address").agg(
-        F.count_if("me").alias("sent"), F.count_if(~F.col("me")).alias("received"), F.max(F.when(F.col("me"), F.col("received_at"))).alias("last_sent"),
-        F.max(F.when(~F.col("me"), F.col("received_at"))).alias("last_received"), F.count_distinct("subject").alias("subjects"),
-    )
-
-
 def thread_dates(messages: DataFrame) -> DataFrame:
     """Per thread: first and last mail, direction of the last, whether the user replied, and the run of own mails at its end.
 

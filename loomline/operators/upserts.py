@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomline.functions.keys import company_key
-
 STAGES = ("found", "verified", "scored")
 STICKY = ("applied", "dismissed")
 
@@ -45,12 +43,3 @@ def merge_board(board: DataFrame, rows: DataFrame, today: str) -> DataFrame:
         "id", F.when(F.col("n").isNull() | back, F.col("stage")).otherwise(F.col("n.stage")).alias("stage"), pick("title", "").alias("title"), pick("composite", 0.0).alias("composite"),
         F.coalesce("first_seen", F.lit(today)).alias("first_seen"), F.when(F.col("n").isNotNull(), F.lit(today)).otherwise(F.col("last_scored")).alias("last_scored"),
     )
-
-
-def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What changed for each person (person, company, position) of ``after``: new, moved or promoted; others have no row."""
-    old = before.where("person != ''").select("person", F.coalesce("company", F.lit("")).alias("was_company"), F.lower(F.trim(F.coalesce("position", F.lit("")))).alias("was_position"), F.lit(True).alias("known")).dropDuplicates(["person"])
-    now = F.lower(F.trim(F.coalesce("position", F.lit(""))))
-    moved = (F.coalesce("company", F.lit("")) != "") & (company_key("was_company") != company_key("company"))
-    kind = F.when(F.col("known").isNull(), "new").when(moved, "moved").when((now != "") & (now != F.col("was_position")), "promoted")
-    return after.join(old, "person", "left").select("person", "company", "position", kind.alias("change"), "was_company").where("change is not null")

@@ -2,6 +2,6 @@
 
 
 def query_sets() -> list:
-    from loomline.plans import core, more, payloads, relations, scalars
+    from loomline.plans import core, mailbox, more, network, payloads, relations, scalars
 
-    return [core, scalars, relations, payloads, more]
+    return [core, scalars, relations, payloads, more, mailbox, network]

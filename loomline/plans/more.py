@@ -57,8 +57,7 @@ def e12_remote_fences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def e17_employer_host(spark: SparkSession, folder: str) -> DataFrame:
-    flat = F.regexp_replace(keys.host_of("url"), "[^a-z0-9]", "")
-    return read_table(spark, folder, "postings").select("pos", ((flat != "") & F.exists(keys.company_tokens("company"), lambda t: flat.contains(t))).alias("own"))
+    return read_table(spark, folder, "postings").select("pos", keys.is_employer_host(keys.host_of("url"), "company").alias("own"))
 
 
 def e28_term_overlap(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,11 +91,6 @@ def j13_host_class(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(best, "pos", "left").select("pos", F.coalesce("class", F.lit("unknown")).alias("class"))
 
 
-def a07_mail_by_employer(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "evidence").select(F.coalesce(F.nullif(keys.company_key("company"), F.lit("")), F.concat(F.lit("thread:"), F.coalesce("thread_id", F.lit("")))).alias("bucket"), dates.written_date("ev_date").alias("d"))
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_on"), F.max("d").alias("last_on"))
-
-
 def a11_search_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Last words of title fragments by number, the forty most frequent; the limit is the feature."""
     last = read_table(spark, folder, "postings").select(F.explode(wording.title_fragments("title")).alias("f")).select(F.regexp_extract("f", r"(\S+)$", 1).alias("term")).where(F.length("term") >= 4)
@@ -152,8 +146,6 @@ _FRAGMENTS = SCALAR["n24_title_fragments"].partition("array_to_string(")[2].rpar
 _DOMAIN = r"lower(regexp_extract(coalesce(sender, ''), '@([\w.\-]+)', 1))"
 _CAP = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 _SAID = "case when pos % 7 = 0 then 0 when pos % 7 = 1 then 1 when pos % 7 = 2 then null else (pos % 40) * (case pos % 3 when 0 then 7 when 1 then 1 else 30 end) + (case when pos % 2 = 0 then 1 else 0 end) end"
-_KEPT = f"""p as (select pos, posted, {_ID} as id, {_C} as c, {_T} as t from postings), k as (select * from p qualify row_number() over (partition by id order by pos) = 1),
-    kept as (select * from k where c = '' or t = '' union all select * from (select * from k where c <> '' and t <> '' qualify row_number() over (partition by c, t order by pos) = 1))"""
 _BLOB = "coalesce(place, '') || '. ' || coalesce(summary, '')"
 
 SQL = {
@@ -164,13 +156,17 @@ SQL = {
     "n34_name_of_address": f"""select row_no, case when len(p) between 2 and 3 and len(list_filter(p, lambda x: not regexp_full_match(x, '[a-z]+'))) = 0 then {_CAP.format("array_to_string(p, ' ')")} else '' end as name
         from (select row_no, list_filter(string_split_regex(regexp_extract(lower(coalesce(sender, '')), '^([^@]+)@', 1), '[._-]'), lambda x: x <> '') as p from messages)""",
     "n36_strip_quoted": r"""with c as (select row_no, coalesce(body, '') as b from messages), d as (select row_no, b, list_min([case when m = '' then length(b) else strpos(b, m) - 1 end for m in [
-        regexp_extract(b, '(?im)^[ \t\r]*On .{0,120}\bwrote:\s*$'), regexp_extract(b, '(?im)^[ \t\r]*-{2,}\s*Original Message\s*-{2,}\s*$'), regexp_extract(b, '(?m)^[ \t\r]*_{10,}\s*$'), regexp_extract(b, '(?im)^[ \t\r]*From: .+\nSent: .+$')]]) as n from c)
-        select row_no, trim(regexp_replace(array_to_string(list_filter(string_split(left(b, n), chr(10)), lambda l: not starts_with(ltrim(l), '>')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) as text from d""",
+        regexp_extract(b, '(?im)^\s*On .{0,120}\bwrote:\s*$'), regexp_extract(b, '(?im)^\s*-{2,}\s*Original Message\s*-{2,}\s*$'), regexp_extract(b, '(?m)^\s*_{10,}\s*$'), regexp_extract(b, '(?im)^\s*From:\s.+\nSent:\s.+$')]]) as n from c)
+        select row_no, trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split_regex(left(b, n), '\r\n|\r|\n'), lambda l: not starts_with(ltrim(l), '>')), chr(10)), '(?is)\n\s*(--\s*\n.*|Sent from my \w+.*|This email was intended for.*|Unsubscribe:.*|You are receiving.*)$', ''), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) as text from d""",
     "n46_addresses": r"select row_no, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(body, '')), '[a-z0-9._+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+'))), ' '), '') as addresses from messages",
     "e12_remote_fences": f"""with b as (select pos, {_BLOB} as b from postings), f as (select pos, {" || ".join(f"regexp_extract_all(b, '{p}', 1)" for p in FENCES)} as f from b),
         g as (select pos, list_filter(list_transform(f, lambda x: trim(lower(trim(x)), '-–—:,; ')), lambda x: x <> '' and len(string_split_regex(x, '\\s+')) <= 8) as g from f)
         select pos, array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), '|') as fences from g""",
-    "e17_employer_host": f"""select pos, h <> '' and len(list_filter(string_split(t, ' '), lambda x: x <> '' and contains(h, x))) > 0 as own from (select pos, regexp_replace({sql_host('url')}, '[^a-z0-9]', '', 'g') as h from postings) join ({SCALAR['n21_company_tokens'].replace(' as tokens', ' as t')}) using (pos)""",
+    "e17_employer_host": f"""with p as (select pos, company, h, string_split(h, '.') as l from (select pos, company, {sql_host('url')} as h from postings)),
+        q as (select p.pos, h, l, regexp_replace(case when len(l) > 2 then array_to_string(l[-3:], '.') else h end, '[^a-z0-9]', '', 'g') as flat, string_split(t.tokens, ' ') as tokens,
+            array_to_string(list_transform(list_filter(string_split_regex(lower(coalesce(company, '')), '[^a-z0-9]+'), lambda w: w not in ('', 'the', 'of', 'and', 'for', 'a')), lambda w: w[1]), '') as acronym
+            from p join ({SCALAR['n21_company_tokens']}) t on t.pos = p.pos)
+        select pos, h <> '' and len(list_filter(tokens, lambda x: x <> '')) > 0 and (len(list_filter(tokens, lambda x: x <> '' and contains(flat, x))) > 0 or (length(acronym) >= 3 and list_contains(l, acronym))) as own from q""",
     "e28_term_overlap": "select pos, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: w in ('data', 'software', 'platform', 'research', 'security')))), ' ') as terms from postings",
     "j01_prioritised_match": f"""with r as (select pos, batch_no, {_U} as u, {_C} as c, {_T} as t from postings)
         select pos, coalesce((select min(o.pos) from r o where o.batch_no = 0 and o.u <> '' and o.u = n.u), (select min(o.pos) from r o where o.batch_no = 0 and o.c <> '' and o.t <> '' and o.c = n.c and o.t = n.t)) as match from r n where batch_no > 0""",
@@ -178,7 +174,6 @@ SQL = {
         from (select contact_id, {_C} as k, {sql_date('seen')} as d from contacts) join (select application_id, {_C} as k, {sql_date('applied')} as s, {sql_date('last_heard')} as e from applications) using (k)
         where k <> '' and d >= s - 400 and d <= coalesce(e, date '9999-12-31' - 400) + 400) where r = 1""",
     "j13_host_class": f"""select pos, case when h = 'indexly.example' or suffix(h, '.indexly.example') then 'aggregator' when regexp_matches(h, '(^|[.])(dayworks|greenstem|levra|ashbrook)[.]example$') then 'board' else 'unknown' end as class from (select pos, {sql_host('url')} as h from postings)""",
-    "a07_mail_by_employer": f"select coalesce(nullif({_C}, ''), 'thread:' || coalesce(thread_id, '')) as bucket, count(*) as n, min({sql_date('ev_date')}) as first_on, max({sql_date('ev_date')}) as last_on from evidence group by 1",
     "a11_search_terms": f"select term, count(*) as n from (select regexp_extract(f, '([^ ]+)$', 1) as term from (select unnest({_FRAGMENTS}) as f from postings)) where length(term) >= 4 group by term order by n desc, term limit 40",
     "a17_per_day": "select cast(received_at as date) as day, count(*) as n, cast(sum(length(coalesce(body, ''))) as bigint) as chars from messages group by 1",
     "a18_baseline": f"with p as (select pos, batch_no, composite, {_ID} as id from {_SCORED}) select pos, composite from p where batch_no = 0 and composite > 0 and id not in (select id from p where batch_no > 0)",
@@ -186,5 +181,4 @@ SQL = {
     "w01_recency": f"select pos, round(r, 6) as recency from {_SCORED}",
     "w05_scored_order": f"select pos, composite from {_SCORED} order by composite desc, lower(coalesce(company, '')), pos",
     "l10_latest_applications": f"select application_id, coalesce({sql_date('last_heard')}, {sql_date('applied')}) as last_on from applications order by last_on desc nulls last, application_id limit 40",
-    "u08_partition": f"with {_KEPT} select p.pos, case when kept.pos is null then 'duplicate' when {sql_date('p.posted')} is null then 'undated' else 'kept' end as part from p left join kept on p.pos = kept.pos",
 }

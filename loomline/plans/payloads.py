@@ -66,14 +66,7 @@ def k04_board_merge(spark: SparkSession, folder: str) -> DataFrame:
     return upserts.merge_board(upserts.merge_board(empty, rows.where("batch_no = 0"), "2026-01-01"), rows.where("batch_no > 0"), TODAY)
 
 
-def j08_snapshot_changes(spark: SparkSession, folder: str) -> DataFrame:
-    people = read_table(spark, folder, "contacts").select(keys.person_key("full_name").alias("person"), "company", F.col("context").alias("position"), "contact_id").where("person != ''")
-    first = people.groupBy("person").agg(F.min_by(F.struct("company", "position"), "contact_id").alias("x")).select("person", "x.company", "x.position")
-    last = people.groupBy("person").agg(F.max_by(F.struct("company", "position"), "contact_id").alias("x")).select("person", "x.company", "x.position")
-    return upserts.snapshot_changes(first, last).select("person", "change")
-
-
-QUERIES = {f"{n}_{kind}": _board(kind) for kind, n in _NUMBERS.items()} | {f.__name__: f for f in (n07_plain_text, s17_dispatch, k01_history_upsert, k04_board_merge, j08_snapshot_changes)}
+QUERIES = {f"{n}_{kind}": _board(kind) for kind, n in _NUMBERS.items()} | {f.__name__: f for f in (n07_plain_text, s17_dispatch, k01_history_upsert, k04_board_merge)}
 
 
 def _sql_plain(x: str) -> str:
@@ -96,7 +89,6 @@ _REMOTE = "case when {0} and not contains(lower({1}), 'remote') then case when {
 _ASHBY = "(case when lower(p) <> 'hallin' then p || '; also Hallin' else p end)"
 _ID = SCALAR["n10_posting_id"].partition("select pos, ")[2].rpartition(" as id")[0]
 _ROWS = f"(select batch_no, {_ID} as id, case pos % 3 when 0 then 'applied' when 1 then 'dropped' else 'recommended' end as status, cast(pos as varchar) as reason, composite, case when pos % 2 = 0 then 'scored' else 'found' end as stage, coalesce(title, '') as title from {_SCORED})"
-_PERSON = SCALAR["n16_person_key"]
 
 SQL = {
     "s01_greenhouse": _sql_board("greenhouse", "p"),
@@ -115,8 +107,4 @@ SQL = {
     "k04_board_merge": f"""with r as (select *, case stage when 'scored' then 3 else 1 end as k from {_ROWS}), b as (select id, max(row(k, composite, stage, title)) as n from r where batch_no = 0 group by id), a as (select id, max(row(k, composite, stage, title)) as n from r where batch_no > 0 group by id)
         select coalesce(a.id, b.id) as id, case when a.id is null or a.n[1] < b.n[1] then b.n[3] else a.n[3] end as stage, case when a.id is null then b.n[4] when a.n[1] < b.n[1] then coalesce(nullif(a.n[4], ''), b.n[4]) else a.n[4] end as title,
         case when a.id is null then b.n[2] when a.n[1] < b.n[1] then coalesce(nullif(a.n[2], 0), b.n[2]) else a.n[2] end as composite, case when b.id is null then '{TODAY}' else '2026-01-01' end as first_seen, case when a.id is null then '2026-01-01' else '{TODAY}' end as last_scored from b full join a on a.id = b.id""",
-    "j08_snapshot_changes": f"""with c as (select person, company, context as position, contact_id from ({_PERSON}) join contacts using (contact_id) where person <> ''),
-        f as (select * from c qualify row_number() over (partition by person order by contact_id) = 1), l as (select * from c qualify row_number() over (partition by person order by contact_id desc) = 1)
-        select person, change from (select l.person, case when coalesce(l.company, '') <> '' and {sql_company('f.company')} <> {sql_company('l.company')} then 'moved' when lower(trim(coalesce(l.position, ''))) <> '' and lower(trim(coalesce(l.position, ''))) <> lower(trim(coalesce(f.position, ''))) then 'promoted' end as change
-        from l join f on l.person = f.person) where change is not null""",
 }

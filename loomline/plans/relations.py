@@ -61,11 +61,6 @@ def j09_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return targets.join(people, "company_key", "left").select("company_key", F.coalesce("n", F.lit(0)).alias("n_contacts"))
 
 
-def j12_alias_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    seen = read_table(spark, folder, "contacts").select(keys.person_key("full_name").alias("person"), keys.company_key("company").alias("employer")).where("person != '' and employer != ''").distinct()
-    return seen.join(seen.withColumnRenamed("employer", "other"), "person").where("employer < other").select(F.col("employer").alias("employer_a"), F.col("other").alias("employer_b")).distinct()
-
-
 def j14_canonical_name(spark: SparkSession, folder: str) -> DataFrame:
     entered = read_table(spark, folder, "aliases").select(keys.company_key("spelling").alias("k"), "canonical").dropDuplicates(["k"])
     rows = read_table(spark, folder, "postings").select("pos", "company", keys.company_key("company").alias("k"))
@@ -88,25 +83,6 @@ def a01_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return records.deduplicated(rows, "id", ["company_key", "title_key"], "pos").select("pos")
 
 
-def a02_applications(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "applications").select(keys.company_key("company").alias("company_key"), dates.written_date("applied").alias("applied"), dates.written_date("last_heard").alias("heard"))
-    return rows.where("company_key != ''").groupBy("company_key").agg(F.min("applied").alias("first_applied"), F.max("heard").alias("last_heard"), F.count(F.lit(1)).alias("n"))
-
-
-def a03_outreach(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "messages").where("thread_id is not null")
-    return rows.groupBy("thread_id").agg(F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"), F.count(F.lit(1)).alias("n"), F.count_if("from_me").alias("n_mine"), (F.coalesce(F.bool_or("from_me"), F.lit(False)) | (F.count(F.lit(1)) > 1)).alias("replied"))
-
-
-def a04_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "contacts").select("contact_id", F.lower(F.trim(keys.text("full_name"))).alias("person"), keys.company_key("company").alias("company_key"), F.coalesce(dates.written_date("seen"), F.lit("0001-01-01").cast("date")).alias("seen"))
-    return rows.groupBy("person", "company_key").agg(F.max_by("contact_id", F.struct("seen", -F.col("contact_id"))).alias("contact_id"))
-
-
-def a05_correspondents(spark: SparkSession, folder: str) -> DataFrame:
-    return records.correspondents(read_table(spark, folder, "messages"))
-
-
 def a10_thread_dates(spark: SparkSession, folder: str) -> DataFrame:
     return records.thread_dates(read_table(spark, folder, "messages"))
 
@@ -145,7 +121,7 @@ def w04_percentile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w06_best_per_company(spark: SparkSession, folder: str) -> DataFrame:
-    rows = records.scored(read_table(spark, folder, "postings"), TODAY).withColumn("company_key", keys.company_key("company"))
+    rows = records.scored(read_table(spark, folder, "postings"), TODAY).withColumn("company_key", F.coalesce(F.nullif(keys.company_key("company"), F.lit("")), F.lower(keys.text("company"))))
     return records.best_per_key(rows, "company_key", [F.desc("composite"), F.asc("pos")], 2).select("pos", "company_key", "composite", "also")
 
 
@@ -154,12 +130,6 @@ def w12_days_quiet(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("application_id", F.datediff(_today(), F.coalesce(dates.written_date("last_heard"), dates.written_date("applied"))).alias("days_quiet"))
 
 
-def j17_thread_company(spark: SparkSession, folder: str) -> DataFrame:
-    own = Window.partitionBy("thread_id").orderBy("evidence_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = read_table(spark, folder, "evidence").where("thread_id is not null")
-    return rows.select("evidence_id", F.first(F.nullif(F.trim("company"), F.lit("")), ignorenulls=True).over(own).alias("company"))
-
-
 def l01_top_postings(spark: SparkSession, folder: str) -> DataFrame:
     """A report of the forty best; the limit is the feature."""
     return records.scored(read_table(spark, folder, "postings"), TODAY).orderBy(F.desc("composite"), F.lower("company"), "pos").limit(40).select("pos", "composite")
@@ -175,9 +145,13 @@ def u02_companies_without_contact(spark: SparkSession, folder: str) -> DataFrame
     return a.where("company_key != ''").subtract(b)
 
 
-def u03_companies_in_both(spark: SparkSession, folder: str) -> DataFrame:
-    a, b = (read_table(spark, folder, t).select(keys.company_key("company").alias("company_key")) for t in ("postings", "contacts"))
-    return a.where("company_key != ''").intersect(b)
+def u03_board_union(spark: SparkSession, folder: str) -> DataFrame:
+    """What goes to the board: postings recommended and those put off, which the cap per employer holds back, together."""
+    rows = records.scored(read_table(spark, folder, "postings"), TODAY).withColumn("company_key", keys.company_key("company"))
+    rank = F.row_number().over(Window.partitionBy("company_key").orderBy(F.desc("composite"), "pos"))
+    ranked = rows.withColumn("r", rank)
+    recommended = ranked.where("r <= 1").select("pos", "composite", F.lit("recommended").alias("part"))
+    return recommended.unionByName(ranked.where("r > 1").select("pos", "composite", F.lit("deferred").alias("part")))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "fjawlu" and name[1:3].isdigit()}
@@ -203,20 +177,9 @@ def _sql() -> dict[str, str]:
         "f19_within_years": f"select contact_id from contacts where {_D('seen')} is null or {_D('seen')} >= date '{TODAY}' - 547",
         "j04_contacts_targets": f"""select contact_id, coalesce(n, 0) as n_applications from (select contact_id, {_C} as k from contacts) left join (select {_C} as k, count(*) as n from applications where {_C} <> '' group by 1) using (k)""",
         "j09_coverage": f"""select k as company_key, count(contact_id) as n_contacts from (select distinct {_C} as k from applications where {_C} <> '') left join (select {_C} as k, contact_id from contacts) using (k) group by k""",
-        "j12_alias_pairs": rf"""with s as (select distinct p, e from (select case when t = '' then '' when regexp_extract(t, '/in/([^/?#]+)', 1) <> '' then 'in:' || regexp_extract(t, '/in/([^/?#]+)', 1) when contains(t, '@') then 'mail:' || t else 'name:' || regexp_replace(t, '\s+', ' ', 'g') end as p, e
-            from (select lower(trim(coalesce(full_name, ''))) as t, {_C} as e from contacts)) where p <> '' and e <> '') select distinct a.e as employer_a, b.e as employer_b from s a join s b on a.p = b.p and a.e < b.e""",
         "j14_canonical_name": f"select pos, coalesce(canonical, company) as company from (select pos, company, {_C} as k from postings) left join (select {sql_company('spelling')} as k, min(canonical) as canonical from aliases group by 1) using (k)",
         "j15_applied_flags": "select distinct trim(thread_id) as thread_id from messages where trim(thread_id) in (select trim(thread_id) from applications where thread_id is not null)",
-        "j17_thread_company": "select evidence_id, first_value(nullif(trim(company), '') ignore nulls) over (partition by thread_id order by evidence_id rows between unbounded preceding and current row) as company from evidence where thread_id is not null",
         "j18_unseen": f"with p as (select pos, batch_no, {_ID} as id from postings) select pos from p where batch_no > 0 and id not in (select id from p where batch_no = 0)",
-        "a01_dedupe": f"""with p as (select pos, {_ID} as id, {_C} as c, {sql_title('title')} as t from postings), k as (select * from p qualify row_number() over (partition by id order by pos) = 1)
-            select pos from k where c = '' or t = '' union all select pos from (select * from k where c <> '' and t <> '' qualify row_number() over (partition by c, t order by pos) = 1)""",
-        "a02_applications": f"select {_C} as company_key, min({_D('applied')}) as first_applied, max({_D('last_heard')}) as last_heard, count(*) as n from applications where {_C} <> '' group by 1",
-        "a03_outreach": "select thread_id, min(received_at) as first_at, max(received_at) as last_at, count(*) as n, count(*) filter (from_me) as n_mine, coalesce(bool_or(from_me), false) or count(*) > 1 as replied from messages where thread_id is not null group by 1",
-        "a04_contacts": f"""select person, company_key, contact_id from (select contact_id, lower(trim(coalesce(full_name, ''))) as person, {_C} as company_key, coalesce({_D('seen')}, date '0001-01-01') as d from contacts)
-            qualify row_number() over (partition by person, company_key order by d desc, contact_id) = 1""",
-        "a05_correspondents": r"""select address, count(*) filter (me) as sent, count(*) filter (not me) as received, max(received_at) filter (me) as last_sent, max(received_at) filter (not me) as last_received, count(distinct subject) as subjects from (
-            select lower(trim(coalesce(case when from_me then recipient else sender end, ''))) as address, coalesce(from_me, false) as me, received_at, trim(regexp_replace(coalesce(subject, ''), '(?i)^\s*((re|fwd?|aw|wg)\s*:\s*)+', '')) as subject from messages) where address <> '' group by 1""",
         "a10_thread_dates": """with m as (select thread_id, received_at, row_no, coalesce(from_me, false) as me, row_number() over (partition by thread_id order by received_at, row_no) as r from messages where thread_id is not null),
             t as (select thread_id, max(r) filter (not me) as theirs from m group by 1)
             select thread_id, min(received_at) as first_at, max(received_at) as last_at, arg_max(me, r) as last_mine, bool_or(me) as replied, cast(count(*) filter (me and r > coalesce(theirs, 0)) as int) as chased from m join t using (thread_id) group by 1""",
@@ -229,12 +192,12 @@ def _sql() -> dict[str, str]:
         "w04_percentile": f"""select pos, percentile, case when percentile >= 90 then 'top 10% of everything seen' when percentile >= 75 then 'top quarter' when percentile >= 50 then 'above your median' else 'below your median' end as band from (
             select pos, cast(round_even(100.0 * (rank() over (order by composite) - 1 + 0.5 * count(*) over (partition by composite)) / count(*) over (), 0) as int) as percentile from {_SCORED})""",
         "w06_best_per_company": f"""select pos, company_key, composite, cast(case when r = 1 then greatest(0, n - 2) else 0 end as int) as also from (select pos, k as company_key, composite, row_number() over (partition by k order by composite desc, pos) as r, count(*) over (partition by k) as n
-            from (select *, {_C} as k from {_SCORED})) where r <= 2""",
+            from (select *, case when {_C} = '' then lower(coalesce(company, '')) else {_C} end as k from {_SCORED})) where r <= 2""",
         "w12_days_quiet": f"select application_id, cast(date '{TODAY}' - coalesce({_D('last_heard')}, {_D('applied')}) as int) as days_quiet from applications",
         "l01_top_postings": f"select pos, composite from {_SCORED} order by composite desc, lower(company), pos limit 40",
         "u01_all_companies": f"select distinct company_key from (select {_C} as company_key from postings union all select {_C} from applications union all select {_C} from contacts) where company_key <> ''",
         "u02_companies_without_contact": f"select {_C} as company_key from postings where {_C} <> '' except select {_C} from contacts",
-        "u03_companies_in_both": f"select {_C} as company_key from postings where {_C} <> '' intersect select {_C} from contacts",
+        "u03_board_union": f"select pos, composite, case when row_number() over (partition by k order by composite desc, pos) = 1 then 'recommended' else 'deferred' end as part from (select *, {_C} as k from {_SCORED})",
     }
 
 
