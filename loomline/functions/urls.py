@@ -93,7 +93,7 @@ def board_parts(url: Column | str) -> Column:
     """Struct of host, tenant and site of a careers address; a language in the path is skipped."""
     host = host_of(url)
     parts = F.filter(F.split(path_of(url), "/"), lambda p: (p != "") & ~p.rlike(LOCALE))
-    return F.struct(host.alias("host"), F.substring_index(host, ".", 1).alias("tenant"), F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("site"))
+    return F.named_struct(F.lit("host"), host, F.lit("tenant"), F.substring_index(host, ".", 1), F.lit("site"), F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
 
 
 def slug_title(slug: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomline.functions import dates, keys, scores, wording
 from loomline.operators.skew import join_key_facts
-from loomline.runtime import cut
+from loomline.runtime import cut, fresh
 
 
 def gate(state: Column, on_unknown: str = "include") -> Column:
@@ -76,7 +76,8 @@ def deduplicated(postings: DataFrame, id_column: str, pair: list[str], order: st
         open_ = cut(rest)
         if open_.isEmpty():
             break
-    return postings.join(kept.select(F.col("ll_o")), F.col(order) == F.col("ll_o"), "left_semi")
+    (at,) = fresh(postings.columns, "ll_at")
+    return postings.join(kept.select(F.col("ll_o").alias(at)), F.col(order) == F.col(at), "left_semi")
 
 
 def best_per_key(df: DataFrame, key: str, order: list[Column], keep: int = 1) -> DataFrame:

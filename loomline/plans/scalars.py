@@ -161,52 +161,6 @@ SQL = {
     "n18_board_slugs": r"""select application_id, array_to_string(list_filter(s, lambda x, i: length(x) > 1 and list_position(s, x) = i), ' ') as slugs from (
         select application_id, [array_to_string(w, ''), array_to_string(w, '-'), case when len(w) > 1 then w[1] else '' end] as s from (
         select application_id, list_filter(string_split_regex(lower(regexp_replace(coalesce(company, ''), '(?i)\b(inc|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|sa|nv|bv|ag|pty|holdings)\b\.?', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '') as w from applications))""",
-    "n21_company_tokens": _select("postings", "pos", tokens=lambda: F.array_join(keys.company_tokens("company"), " ")),
-    "n22_title_tokens": _select("postings", "pos", tokens=lambda: F.array_join(wording.title_tokens("title"), " ")),
-    "n24_title_fragments": _select("postings", "pos", fragments=lambda: F.array_join(wording.title_fragments("title"), "|")),
-    "n29_message_domain": _select("messages", "row_no", domain=lambda: F.lower(F.regexp_extract(F.coalesce("sender", F.lit("")), r"@([\w.\-]+)", 1))),
-    "n30_counterpart": _select("messages", "row_no", counterpart=lambda: F.lower(F.trim(F.coalesce(F.when(F.col("from_me"), F.col("recipient")).otherwise(F.col("sender")), F.lit(""))))),
-    "n31_clean_subject": _select("messages", "row_no", subject=lambda: wording.clean_subject("subject")),
-    "n32_message_text": _select("messages", "row_no", text=lambda: F.concat_ws("\n", F.nullif("subject", F.lit("")), F.nullif("snippet", F.lit("")), F.nullif("body", F.lit("")))),
-    "n35_unwrap": _select("messages", "row_no", text=lambda: wording.unwrapped("body")),
-    "n41_contact_key": _select("contacts", "contact_id", key=lambda: F.concat(F.lower(F.trim(keys.text("full_name"))), F.lit("|"), keys.company_key("company"))),
-    "n44_excerpt": n44_excerpt,
-    "n45_document_kind": n45_document_kind,
-    "e01_salary": _select("postings", "pos", low=lambda: wording.salary_range(_pay())["low"], high=lambda: wording.salary_range(_pay())["high"]),
-    "e02_employment_type": _select("postings", "pos", employment=lambda: wording.employment_type(_post())),
-    "e04_clearance": _select("postings", "pos", clearance=lambda: wording.needs_clearance(_post())),
-    "e11_work_mode": _select("postings", "pos", work_mode=lambda: wording.work_mode(F.concat_ws(" ", keys.text("place"), keys.text("summary")))),
-    "e13_nationwide": e13_nationwide,
-    "e26_title_relevance": _select("postings", "pos", relevance=lambda: F.round(wording.title_relevance("title", ["data", "software", "engineer", "developer", "analyst"]), 4)),
-}
-
-_WANTED = "['data', 'software', 'engine', 'develop', 'analyst']"
-_BLOB = rf"regexp_replace(coalesce(salary, '') || ' ' || coalesce(summary, ''), '{wording.RETIREMENT}', ' ', 'g')"
-# no look-behind here: the sign before an amount is taken along, and what follows it is left to the next
-_AMOUNT = r"(^|[^\w.])\$?\s*(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?)(?:\s*([kK])\b)?"
-_TOK = _ordered_distinct(sql_tokens("title"))
-_MODE = "lower(coalesce(place, '') || ' ' || coalesce(summary, ''))"
-_CLEAR = f"lower({_POST})"
-
-SQL = {
-    "n01_normalize_company": f"select pos, {sql_company('company')} as company_key from postings",
-    "n02_normalize_title": f"select pos, {sql_title('title')} as title_key from postings",
-    "n03_canonical_url": f"select pos, {sql_url('url')} as url_key from postings",
-    "n04_parse_date": f"select pos, {sql_date('posted')} as posted_on from postings",
-    "n05_feed_date": r"""select pos, case when regexp_matches(trim(coalesce(posted, '')), '^\d{4}-\d{2}-\d{2}') then cast(try_strptime(left(trim(posted), 10), '%Y-%m-%d') as date)
-        when regexp_full_match(trim(coalesce(posted, '')), '\d{1,2}/\d{1,2}/\d{4}') then cast(try_strptime(trim(posted), '%m/%d/%Y') as date) end as posted_on from postings""",
-    "n10_posting_id": f"select pos, left(sha1(case when {sql_url('url')} <> '' then {sql_url('url')} else {sql_company('company')} || '|' || {sql_title('title')} end), 12) as id from postings",
-    "n11_age_days": f"select pos, cast(date '{TODAY}' - {sql_date('posted')} as int) as age_days from postings",
-    "n12_host_of": f"select pos, {sql_host('url')} as host from postings",
-    "n13_host_matches": f"select pos, {sql_host('url')} = 'dayworks.example' or suffix({sql_host('url')}, '.dayworks.example') as on_board from postings",
-    "n14_domain_of": f"""select pos, case when len(p) <= 2 then h when p[-2] in ('co', 'com', 'org', 'net', 'ac', 'gov', 'edu') and length(p[-1]) = 2 then array_to_string(p[-3:], '.')
-        else array_to_string(p[-2:], '.') end as domain from (select pos, h, string_split(h, '.') as p from (select pos, {sql_host('url')} as h from postings))""",
-    "n16_person_key": r"""select contact_id, case when t = '' then '' when regexp_extract(t, '/in/([^/?#]+)', 1) <> '' then 'in:' || regexp_extract(t, '/in/([^/?#]+)', 1)
-        when contains(t, '@') then 'mail:' || t else 'name:' || regexp_replace(t, '\s+', ' ', 'g') end as person from (select contact_id, lower(trim(coalesce(full_name, ''))) as t from contacts)""",
-    "n17_employer_key": f"select contact_id, case when {sql_company('company')} = '' then '' else 'co:' || {sql_company('company')} end as employer from contacts",
-    "n18_board_slugs": r"""select application_id, array_to_string(list_filter(s, lambda x, i: length(x) > 1 and list_position(s, x) = i), ' ') as slugs from (
-        select application_id, [array_to_string(w, ''), array_to_string(w, '-'), coalesce(w[1], '')] as s from (
-        select application_id, list_filter(string_split_regex(lower(regexp_replace(coalesce(company, ''), '(?i)\b(inc|llc|ltd|limited|corp|corporation|co|company|plc|gmbh)\b\.?', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '') as w from applications))""",
     "n21_company_tokens": f"select pos, array_to_string(list_filter(string_split_regex(lower(coalesce(company, '')), '[^a-z0-9]+'), lambda w: length(w) > 2 and w not in ('the', 'inc', 'llc', 'ltd', 'corp', 'corporation', 'company', 'co', 'group', 'holdings', 'national', 'laboratory', 'laboratories', 'labs', 'lab', 'technologies', 'technology', 'systems', 'solutions', 'services', 'and', 'of', 'for', 'university', 'institute', 'center', 'centre')), ' ') as tokens from postings",
     "n22_title_tokens": f"select pos, array_to_string({_TOK}, ' ') as tokens from postings",
     "n24_title_fragments": rf"""select pos, array_to_string(list_filter(list_transform(string_split_regex(coalesce(title, ''), '[/,;&()]|\s[-–—]\s'), lambda p: array_to_string({_WORDS.format('p')}, ' ')), lambda p: p <> ''), '|') as fragments from postings""",

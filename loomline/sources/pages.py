@@ -140,9 +140,9 @@ def _cells(body: Column, field: str) -> Column:
     """Row number and text of each cell of a grid's field, as a map."""
     pattern = rf"id='{field}\$(\d+)'\s*>([^<]*)<"
     rows, values = F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), F.regexp_extract_all(body, F.lit(pattern), F.lit(2))
-    pairs = F.transform(F.arrays_zip(rows.alias("r"), values.alias("v")), lambda x: F.struct(x["r"].cast("int"), x["v"]))
+    pairs = F.transform(F.arrays_zip(rows.alias("r"), values.alias("v")), lambda x: F.named_struct(F.lit("r"), x["r"].cast("int"), F.lit("v"), x["v"]))
     # of a row number that comes twice the last cell counts
-    last = F.aggregate(pairs, F.create_map().cast("map<int,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["col1"]), F.create_map(x["col1"], x["col2"])))
+    last = F.aggregate(pairs, F.create_map().cast("map<int,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["r"]), F.create_map(x["r"], x["v"])))
     return last
 
 

@@ -1,7 +1,9 @@
 import datetime as dt
 import json
 
-from loomline.operators import upserts
+import pytest
+
+from loomline.operators import people, upserts
 from loomline.sources import boards, exports
 
 
@@ -28,7 +30,9 @@ def test_boards(spark):
 def test_contacts_with_preamble(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Notes:\n"As of, today"\n\nFirst Name,Last Name,URL,Email Address,Company,Position,Connected On\nAnn,Lee,u,,"Acme, Inc",Boss,01 Jan 2024\n,,,,,,\n')
     (tmp_path / "b.csv").write_text("nothing,here\n")
-    rows = exports.read_contacts(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="no header"):
+        exports.read_contacts(spark, str(tmp_path)).collect()
+    rows = exports.read_contacts(spark, str(tmp_path), strict=False).collect()
     assert [(r.first_name, r.company, r.connected_on) for r in rows] == [("Ann", "Acme, Inc", "01 Jan 2024")]
 
 
@@ -36,7 +40,9 @@ def test_mail_archive(spark, tmp_path):
     mail = "From a@x Mon\nMessage-ID: <{0}>\nReferences: <r> <s>\nFrom: a@x\nTo: b@x\nSubject: s{0}\nDate: Mon, 01 Sep 2025 10:00:00 +0000\n\nbody {0}\n"
     (tmp_path / "m.mbox").write_text(mail.format(1) + "\n" + mail.format(2))
     rows = exports.read_mail_archive(spark, str(tmp_path / "m.mbox")).collect()
-    assert sorted((r.message_id, r.thread_id, r.subject, r.body.strip()) for r in rows) == [("<1>", "<r>", "s1", "body 1"), ("<2>", "<r>", "s2", "body 2")]
+    assert sorted((r.message_id, r.thread_id, r.subject, r.body.strip()) for r in rows) == [("1", "r", "s1", "body 1"), ("2", "r", "s2", "body 2")]
+    assert exports.read_mail_archive(spark, str(tmp_path / "m.mbox"), me=("A@x",), since="2025-09-02").count() == 0
+    assert {(r.from_me, r.recipient, r.msg_date) for r in exports.read_mail_archive(spark, str(tmp_path / "m.mbox"), me=("A@x",)).collect()} == {(True, "b@x", "2025-09-01T10:00:00Z")}
 
 
 def test_log(spark, tmp_path):
@@ -63,7 +69,24 @@ def test_board_stage_never_goes_back(spark):
 
 
 def test_snapshot_changes(spark):
-    shape = "person string, company string, position string"
-    before = spark.createDataFrame([("p", "Acme", "Dev"), ("q", "Acme", "Dev"), ("r", "Acme", "Dev"), ("gone", "A", "B")], shape)
-    after = spark.createDataFrame([("p", "Acme Inc", "Dev"), ("q", "Other", "Dev"), ("r", "ACME", "Boss"), ("s", None, None)], shape)
-    assert {r.person: r.change for r in upserts.snapshot_changes(before, after).collect()} == {"q": "moved", "r": "promoted", "s": "new"}
+    shape = "identity string, company string, position string"
+    before = spark.createDataFrame([("p", "Acme", "Dev"), ("q", "Acme", "Dev"), ("r", "Acme", "Dev"), ("gone", "A", "B"), ("t", "", "Dev")], shape)
+    after = spark.createDataFrame([("p", "Acme Inc", "Dev"), ("q", "Other", "Dev"), ("r", "ACME", "Boss"), ("s", None, None), ("t", "Acme", "Dev")], shape)
+    assert {r.identity: r.change for r in people.snapshot_changes(before, after).collect()} == {"q": "moved", "r": "promoted", "s": "new", "t": "moved"}
+
+
+def test_marks_and_dismissals(spark):
+    history = spark.createDataFrame([("abc1", "found", "n"), ("abd2", "found", ""), ("ab", "dropped", None)], "id string, status string, note string")
+    marks = spark.createDataFrame([("abc", "applied", "x"), ("ab", "dismissed", ""), ("a", "applied", ""), ("zz", "applied", ""), (None, "applied", "")], "prefix string, status string, note string")
+    assert {tuple(r) for r in upserts.mark_status(history, marks).select("id", "status", "note").collect()} == {("abc1", "applied", "x"), ("abd2", "found", ""), ("ab", "dismissed", None)}
+    assert {r.id for r in upserts.forget_transient(history).collect()} == {"abc1", "abd2"}
+    gone = spark.createDataFrame([("a", "person", "r", "1"), ("b", "person", "r", "1")], "key string, kind string, reason string, day string")
+    changes = spark.createDataFrame([("a", "person", "", "2", True), ("c", "employer", "s", "2", False)], "key string, kind string, reason string, day string, removed boolean")
+    assert {r.key for r in upserts.dismiss(gone, changes).collect()} == {"b", "c"}
+
+
+def test_spells_and_conversations_of_an_export(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Company Name,Title,Started On,Finished On\nAcme,Dev,Jun 2024,\n,x,2020,2021\nZed,Dev,2019,odd\n")
+    (tmp_path / "m.csv").write_text("FROM,TO,DATE,SENDER PROFILE URL,RECIPIENT PROFILE URLS\nMe,Ann,2026-01-02 10:00,https://x/in/me,https://x/in/Ann?a\nAnn,Me,2026-01-03 10:00,https://x/in/ann,https://x/in/me\nMe,,2026-01-03,https://x/in/me,\n")
+    assert {tuple(r) for r in exports.read_spells(spark, str(tmp_path / "p.csv"), None).collect()} == {("employer", "Acme", "2024-06-01", ""), ("employer", "Zed", "2019-01-01", "odd")}
+    assert [tuple(r) for r in exports.read_conversations(spark, str(tmp_path / "m.csv"), "Me").collect()] == [("ann", "Ann", 1, 1, "2026-01-02", "2026-01-03")]
