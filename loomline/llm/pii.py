@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,19 +14,38 @@ from pyspark.sql import DataFrame, functions as F
 from loomline.runtime import ship
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Words a candidate may have at most; the dynamic programme looks back no further.
-MAX_WORDS = 14
 
-# Given names, those among them that are English words or months, endings of family names, parts of places.
+# Common given names of many countries, those of them that are words or months, words that begin sentences or stand in titles and so are no names.
 GIVEN = frozenset(
-    "amara anna anna-maria art bea bill björn bodil chidi ciaran dawn dorrit drew edda eun-ji faith farouk grace gwenda hamish hope ilse ingrid ivo jean-luc josé jovan june kamala kofi leocadia lucian małgorzata mark miles mirela niamh noor odile osvaldo penny pernilla priya quentin rasheed rose ruth sky søren sunniva tadeusz thandiwe tomás ulrike vikram wanda wei will xiomara yusuf zelda zoë "
-    "james john robert michael david richard joseph thomas daniel matthew anthony paul andrew peter mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa maria anna laura emma hans karl jürgen pierre marie claire juan carlos luis ana carmen ahmed fatima mohammed wang li chen kim park singh".split()
+    "james john robert michael david william richard joseph thomas daniel matthew anthony paul andrew peter steven kevin brian george edward samuel benjamin oliver jack harry noah liam lucas ethan adam alexander max leo oscar hugo "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret emily emma olivia sophia sophie charlotte amelia isabella mia ella lucy chloe hannah laura julia anna maria alice helen kate jane ruth "
+    "hans karl jürgen wolfgang klaus stefan andreas sabine monika petra heike pierre jean michel luc claire camille juliette antoine giulia marco luca giovanni francesca paolo chiara juan carlos luis miguel jose josé pedro pablo carmen ana lucía sofía "
+    "joão pedro inês lars erik sven björk björn ingrid astrid kari olga ivan dmitri natasha svetlana katarzyna piotr agnieszka ahmed mohamed mohammed muhammad ali omar hassan fatima aisha layla yusuf ravi priya arjun anita rahul sanjay "
+    "deepak wei li ming chen yuki hiroshi kenji sakura jin min-jun kofi kwame ama chioma ngozi emeka thabo will mark bill art rose grace faith hope joy june may april dawn penny sky drew miles".split()
+)
+WORDLIKE = frozenset("will mark bill art rose grace faith hope joy june may april dawn penny sky drew miles max jack".split())
+COMMON = frozenset(
+    "the this that these those there they them their then than thanks thank please would could should shall can may might must what when where which while who why how have has had our your you yes not now new next last all and any are ask but call "
+    "come dear hi hello hey good morning afternoon evening best kind regards for from to cc subject date sent re if in into is it its just let look made make more most my no of on one only or other out over phone reply see since so some still team tell "
+    "today tomorrow under until up use very was we well were with work monday tuesday wednesday thursday friday saturday sunday january february march july august september october november december manager engineer director recruiter "
+    "officer analyst developer consultant specialist assistant coordinator department group office company university institute street road avenue sir madam everyone colleagues hiring committee bonjour hola hallo guten herr frau mon tue wed thu fri sat sun jan feb mar apr jun jul aug sep sept oct nov dec quoting forwarded original message begin wrote partner people warmly sincerely cordially respectfully truly yours faithfully kindly cheers greetings wishes cordialement saludos atentamente grüße gruß saluti mvh".split()
+)
+# Words that end names of firms.
+FIRMS = frozenset(
+    "ltd inc llc plc gmbh group partners services systems technologies technology software solutions logistics insurance consulting consultants research institute laboratories labs aerospace robotics analytics engineering manufacturing energy "
+    "financial bank international biosciences pharmaceuticals health hospital university college school devices trust unit centre center works foods vets transit authority observatory library review tooling desk team sales support".split()
 )
-WORDLIKE = frozenset("art bill dawn drew faith grace hope june mark miles penny rose sky will park kim".split())
-FAMILY = "hart|well|sson|evic|quist|moto|stad|bury|mere|ande|ley|ski|oni|ova|aki|ez|ney|dey|ey|ham|by|son|man|berg"
-NOT_FAMILY = frozenset("vellmere marrowby quillmere they monday tuesday wednesday thursday friday saturday sunday survey journey money turkey valley honey hockey june july".split())
 WEEKDAYS = frozenset("monday tuesday wednesday thursday friday saturday sunday".split())
-MONTH_BEFORE = frozenset("in from since until by of during next last early late mid from till on".split())
+MONTH_BEFORE = frozenset("in from since until by of during next last early late mid till on".split())
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Parts of names that are known in a corpus, in lower case."""
+
+    given: frozenset[str] = frozenset()
+    family: frozenset[str] = frozenset()
+
 
 # a space, or a line break with marks of quotation after it
 _G = r"(?:[  ]|[ \t]?\r?\n[>| \t]*)"
@@ -41,13 +61,14 @@ _PHONE = re.compile(
     rf"|(?P<paren>\(\d{{3}}\){_G}?\d{{3}}[.-]\d{{4}})|(?P<plain>\d{{3}}(?:(?:-\d{{3}}-)|(?:\.\d{{3}}\.)|(?:{_G}\d{{3}}{_G}))\d{{4}}))(?:,?{_G}?(?:ext\.?|x|extension){_G}?\d{{1,5}})?(?![\w-]|\.\d)"
 )
 _ID = re.compile(
-    rf"(?<![\w.+-])(?:(?P<ssn>\d{{3}}(?:-\d{{2}}-|{_G}\d{{2}}{_G})\d{{4}})|(?P<tax>\d{{2}}(?:{_G}\d{{3}}){{3}})|(?P<ni>[A-Z]{{2}}(?:{_G}?\d{{2}}){{3}}{_G}?[A-D])|(?P<passport>[A-Z]{{2}}\d{{6,8}})|(?P<licence>[A-Z]\d{{3}}-\d{{4}}-\d{{4}}))(?![\w-])"
+    rf"(?<![\w.+-])(?:(?P<ssn>\d{{3}}(?:-\d{{2}}-|{_G}\d{{2}}{_G})\d{{4}})|(?P<tax>\d{{2}}(?:{_G}\d{{3}}){{3}})|(?P<ni>[A-Z]{{2}}(?:{_G}?\d{{2}}){{3}}{_G}?[A-D])|(?P<passport>[A-Z]{{2}}\d{{6,8}})|(?P<licence>[A-Z]\d{{3}}-\d{{4}}-\d{{4}})|(?P<letter>\d{{8}}-?[A-Z]|[XYZ]-?\d{{7}}-?[A-Z])|(?P<fours>\d{{4}}{_G}\d{{4}}{_G}\d{{4}}))(?![\w-])"
 )
 _STREET = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Boulevard|Blvd\.?|Court|Ct\.?|Lane|Ln\.?|Drive|Dr\.?|Place|Pl\.?|Square|Sq\.?|Terrace|Way|Close|Row|Walk|Crescent|Quay)"
 _ADDRESS = re.compile(
     rf"(?<![\w$.-])(?:(?P<box>P\.?{_G}?O\.?{_G}Box{_G}\d+,{_G}{_CITY})"
     rf"|(?P<anglo>(?:(?:Flat|Apt\.?|Unit|Suite){_G}\w+,{_G})?\d{{1,5}}[A-Za-z]?{_G}{_WORDS}{_STREET}(?:,{_G}(?:Apt\.?|Flat|Unit|Suite){_G}\w+)?,{_G}{_CITY}(?:,?{_G}(?:[A-Z]{{2}}{_G}\d{{5}}|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_G}\d[A-Z]{{2}}))?)"
     rf"|(?P<french>\d{{1,4}},?{_G}(?:rue|avenue|boulevard|place|quai|chemin){_G}(?:(?:de{_G}la|du|des|de|d['’]){_G}?)?{_WORDS[:-5]}{{0,3}}[A-ZÀ-Þ][\w'’-]*,{_G}\d{{5}}{_G}{_CITY})"
+    rf"|(?P<latin>(?:Via|Viale|Piazza|Corso|Calle|Avenida|Plaza|Paseo|Rua|Praça){_G}(?:(?:de{_G}la|del|della|dei|di|de|da|do){_G})?{_WORDS[:-5]}{{0,3}}[A-ZÀ-Þ][\w'’-]*,?{_G}(?:n\.?{_G}?)?\d{{1,4}},{_G}\d{{4,5}}(?:-\d{{3}})?{_G}{_CITY})"
     rf")(?!\w)"
 )
 _STREET_LAST = ("Gasse", "Weg", "Allee", "Straße", "Strasse", "Platz", "Ring", "Ufer")
@@ -63,12 +84,27 @@ _CAPITAL = re.compile(r"(?:[A-Z\u00C0-\u00DE\u0100-\u024F]|v(?=[ao]n\s))[\w'’-
 _NO_NAME_BEFORE = frozenset("@./'’-_")
 _LONE = re.compile(r"\n[>| \t–—-]*([^\W\d_][\w'’-]{1,24})(?=[,!.]*[ \t\r]*(?:\n|$))")
 _NEXT = re.compile(rf"(?P<dot>\.)?(?P<comma>,)?{_G}(?P<word>[^\W\d_](?:[\w'’]|-(?=\w))*)")
-_FAMILY = re.compile(rf"^(?:o['’]|mc)?[^\W\d_]{{2,}}?(?:{FAMILY})$")
-_PARTICLE = re.compile(rf"^(?:van(?:{_G}de[rn]?)?|von|de|del|della|di|da|dos|el|al|bin)$")
+_PARTICLE = re.compile(rf"^(?:van(?:{_G}de[rn]?)?|von|de|del|della|di|da|dos|el|al|bin|der|den)$")
+# what stands right before a name: greetings, fields of headers, titles, and words that only people follow
+_CUE = re.compile(
+    rf"(?P<greet>(?:^|\n)[>| \t]*(?:Hi|Hello|Dear|Hey|Good (?:morning|afternoon|evening)|Bonjour|Hola|Hallo|Liebe|Lieber|Cher|Chère|Caro|Cara|Ciao|Hej|Kära|Olá|Estimado|Estimada){_G})"
+    rf"|(?P<head>(?:^|\n)[>| \t]*(?:From|To|Cc|Von|An|De|Da|À|Från|Para):{_G}?)|(?P<title>\b(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Sr|Sra)\.?{_G})"
+    rf"|(?P<cue>\b(?:my name is|I am|I'm|this is|spoke (?:to|with)|speak (?:to|with)|talked to|hello to|regards to|meet|met|ask(?:ed)?(?: for)?|thank|told|invited|called|contact|interview(?:ed)? (?:with|by)|referred by|introduced by|report to|reports to|signed by){_G})"
+)
+# what stands right after one
+_SAID = re.compile(rf"{_G}<[\w.+-]+@|{_G}(?:wrote|writes|schrieb|said|suggested|called|asked|joined)\b|{_G}(?:a écrit|escribió|ha scritto|skrev)")
+_PART = rf"(?:(?:van|von|de|der|den|da|di|del|el|al|bin){_G})?[^\W\d_a-zß-öø-ÿ][\w'’-]*\w"
+_RUN = re.compile(rf"{_PART}(?:{_G}(?:[A-ZÀ-Þ]\.{_G})?{_PART}){{0,3}}")
+_RUN_END = re.compile(rf"(?:^|(?<=[\s(>]))({_PART}(?:{_G}(?:[A-ZÀ-Þ]\.{_G})?{_PART}){{0,3}})$")
+_LINE_NAME = re.compile(rf"(?:^|\n)[>| \t]*(?:[–—-] ?)?({_PART}(?: (?:[A-ZÀ-Þ]\. )?{_PART}){{0,3}})(?=[,]?[ \t\r]*(?:\n|$))")
 
 
-class _Classes(dict):
-    """G given name, S shaped as a family name, I initial, P particle, or nothing; of a word, remembered."""
+class Classes(dict):
+    """G given name, S known family name, I initial, P particle, C another word with a capital, or nothing; of a word, remembered."""
+
+    def __init__(self, lexicon: Lexicon = Lexicon()):
+        super().__init__()
+        self.given, self.family = GIVEN | lexicon.given, lexicon.family
 
     def __missing__(self, word: str) -> str:
         if len(self) > 300_000:
@@ -76,41 +112,36 @@ class _Classes(dict):
         kind = self[word] = self.of(word)
         return kind
 
-    @staticmethod
-    def of(word: str) -> str:
+    def of(self, word: str) -> str:
         low = word.lower()
-        if _PARTICLE.match(word) or low in ("van", "der", "den"):
+        if _PARTICLE.match(word) or word.isupper() and len(word) > 1 and _PARTICLE.match(low):
             return "P"
         if len(word) == 1:
             return "I" if word.isupper() else ""
-        if low in GIVEN:
+        if low in self.given:
             return "G"
+        bare = re.sub(r"^(?:o['’]|mc)", "", low)
         parts = low.split("-")
-        if low not in NOT_FAMILY and all(len(p) > 3 and _FAMILY.match(p) for p in parts) and word[0].isupper():
+        if word[0].isupper() and (low in self.family or bare in self.family or len(parts) > 1 and all(p in self.family for p in parts)):
             return "S"
-        return "G" if len(parts) == 2 and parts[0] in GIVEN and parts[1] in GIVEN else ""
-
-
-_CLASSES = _Classes()
-
-
-def _class(word: str) -> str:
-    return _CLASSES[word]
+        if len(parts) == 2 and all(p in self.given for p in parts):
+            return "G"
+        return "C" if word[0].isupper() and low not in COMMON and low[-2:] not in ("'s", "’s", "'m", "’m") else ""
 
 
-#: Sequences of word classes that may be a name.
-_SHAPES = frozenset({"G", "S", "GS", "GIS", "IS", "IIS", "GPS", "GIPS", "IPS", "G,S", "S,G", "S,I", "S,GI", "PS,G", "GG", "GGS", "GSS"})
+#: Sequences of word classes that may be a name anywhere.
+_SHAPES = frozenset({"G", "S", "GS", "GIS", "IS", "IIS", "GPS", "GIPS", "IPS", "G,S", "S,G", "S,I", "S,GI", "PS,G", "GG", "GGS", "GSS", "GC", "GIC", "GPC", "GIPC", "C,G", "IC", "IIC", "IPC"})
 
 
-def _names(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
-    # names in small letters stand alone on their line
+def _names(text: str, classes: Classes) -> Iterator[tuple[int, int, str, list[str]]]:
+    # names in small letters stand alone on their line, or are a given name with a known family name
     for m in _LONE.finditer("\n" + text):
-        if not m[1][0].isupper() and _CLASSES[m[1]] == "G":
+        if not m[1][0].isupper() and classes[m[1]] == "G":
             yield m.start(1) - 1, m.end(1) - 1, "G", [m[1]]
     for m in _CAPITAL.finditer(text):
         word = m.group()
-        kind = _CLASSES[word]
-        if not kind:
+        kind = classes[word]
+        if not kind or kind == "C" and text[m.end() : m.end() + 1] != ",":
             continue
         before = text[m.start() - 1] if m.start() else " "
         if before.isalnum() or before in _NO_NAME_BEFORE:
@@ -128,18 +159,22 @@ def _names(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
             if not n:
                 break
             nxt = n["word"]
-            part = _CLASSES[nxt]
+            part = classes[nxt]
             if not part or (part != "P" and not nxt[0].isupper()):
                 break
             if n["dot"] and shape[-1] != "I" or n["comma"] and "," in shape:
                 break
             if part == "I" and text[n.end() : n.end() + 1] != ".":
                 break
+            if part == "C" and (shape[-1] not in "GIP" or n["comma"]):
+                break
             if n["comma"]:
                 # "Dear Ann van der Lee,⏎Will it …" is no "Lee, Will"
-                if "\n" in n.group() and _CLASSES[_word_before(text, m.start()).capitalize()] == "G":
+                if "\n" in n.group() and classes[_word_before(text, m.start()).capitalize()] == "G":
                     break
                 shape += ","
+            elif shape == "C":
+                break
             if not (part == "P" and shape[-1] == "P"):
                 shape += part
             words = [*words, nxt]
@@ -149,6 +184,35 @@ def _names(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
                 yield m.start(), stop, shape, words
 
 
+_SMALL = re.compile(rf"(?<![\w@./'’-])([a-zß-öø-ÿ][\w'’-]*){_G}((?:(?:van|von|de|der|den){_G})*[a-zß-öø-ÿ][\w'’-]*)(?![\w@])")
+
+
+def _cued(text: str, classes: Classes) -> Iterator[tuple[int, int, str, str]]:
+    """Runs of words with a capital that no list knows, where what stands about them says that they name somebody: start, end, cue, shape."""
+
+    def shaped(start: int, end: int, cue: str) -> Iterator[tuple[int, int, str, str]]:
+        shape, ends = "", []
+        for w in re.finditer(r"[\w'’-]+", text[start:end]):
+            kind = classes[w.group()]
+            if not kind:
+                break
+            shape += kind
+            ends.append((start + w.end(), shape))
+        for stop, shape in ends[:5]:
+            if "C" in shape and shape[-1] not in "PI" and shape not in _SHAPES:
+                yield start, stop, cue, shape
+
+    for m in _CUE.finditer(text):
+        if run := _RUN.match(text, m.end()):
+            yield from shaped(run.start(), run.end(), m.lastgroup)
+    for m in _SAID.finditer(text):
+        low = max(0, m.start() - 80)
+        if run := _RUN_END.search(text[low : m.start()]):
+            yield from shaped(low + run.start(1), low + run.end(1), "said")
+    for m in _LINE_NAME.finditer(text):
+        yield from shaped(m.start(1), m.end(1), "line")
+
+
 def _alone(text: str, start: int, end: int) -> bool:
     """Whether a span is all that its line says, but for marks of quotation, a dash or a comma."""
     before, after = text[text.rfind("\n", 0, start) + 1 : start], text[end : (text + "\n").index("\n", end)]
@@ -209,8 +273,9 @@ def _within(pattern: re.Pattern, text: str, spots: list[tuple[int, int]]) -> Ite
             done = at = whole.end() if whole else m.start() + 1
 
 
-def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
+def candidates(text: str, classes: Classes | None = None) -> list[tuple[int, int, str, tuple[str, ...]]]:
     """Candidate spans with their kind and features of the whole span."""
+    classes = _PLAIN if classes is None else classes
     out: list[tuple[int, int, str, tuple[str, ...]]] = []
     if "://" in text or "www." in text:
         out += [(m.start(), m.end(), "link", ("link",)) for m in _LINK.finditer(text)]
@@ -235,16 +300,22 @@ def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         for pattern in (_ADDRESS, _GERMAN) if any(x in text for x in _STREET_LAST) else (_ADDRESS,):
             for m in pattern.finditer(text):
                 out.append((m.start(), m.end(), "address", ("address", f"address:{m.lastgroup}")))
-    for start, end, shape, words in _names(text):
+    for start, end, shape, words in _names(text, classes):
         before, after = _word_before(text, start), _word_after(text, end)
+        if text[max(0, start - 2) : start].strip()[-1:] in (".", "?", "!"):
+            before = "^."
         low = words[0].lower()
         feats = ["name", f"name:{shape}"]
         if len(words) == 1:
             wordlike = "w" if low in WORDLIKE else "n"
-            feats += [f"one:{wordlike}:{shape}", f"one:{wordlike}<{before}", f"one:{wordlike}>{after}"]
+            rest = text[end : end + 2].strip()
+            case = "end" if not rest else "digit" if rest[0].isdigit() else "lower" if rest[0].islower() else "upper" if rest[0].isupper() else "mark"
+            if case == "upper":
+                after = after.capitalize()
+            feats += [f"one:{wordlike}:{shape}", f"one:{wordlike}<{before}", f"one:{wordlike}>{after}", f"one:{wordlike}>:{case}", f"one:{wordlike}:{before if before[0] == '^' else 'in'}:{case}"]
             if _alone(text, start, end):
                 feats.append(f"one:{wordlike}:alone")
-            if after in WEEKDAYS:
+            if after.lower() in WEEKDAYS:
                 feats.append(f"one:{wordlike}>weekday")
             if low == "june" and before in MONTH_BEFORE:
                 feats.append("month")
@@ -252,48 +323,93 @@ def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
                 feats.append(f"family<{before}")
         else:
             feats += [f"many:{'w' if low in WORDLIKE else 'n'}", f"many<{before}" if before in ("the", "a", "^") else "many<other"]
+            if shape[-1] == "C":
+                feats += [f"guess<{before}", f"guess>{after if len(after) < 3 or after in WEEKDAYS else 'word'}"]
         out.append((start, end, "name", tuple(feats)))
+    for start, end, cue, shape in dict.fromkeys(_cued(text, classes)):
+        after, firm = _word_after(text, end), re.split(r"\W+", text[start:end])[-1].lower() in FIRMS
+        feats = ["name", f"cue:{cue}", f"cue:{cue}:{shape}", f"cue>{after if len(after) < 3 else 'firm' if after in FIRMS else 'word'}", f"firm:{firm}"]
+        if cue == "line":
+            above = text[: text.rfind("\n", 0, start) + 1].rstrip(" \t\r\n>|–—-")
+            upper = above[above.rfind("\n") + 1 :].strip(" >|\t–—-")
+            told = "^" if not upper else "text" if len(upper) > 32 or upper[-1] in ".?:;" else "comma" if upper[-1] in ",!" else "title" if upper.split()[-1][0].isupper() and " " in upper else "word"
+            feats.append(f"line:{shape}:{told}")
+        out.append((start, end, "name", tuple(feats)))
+    if classes.family:
+        for m in _SMALL.finditer(text):
+            first, last = m[1], re.split(r"\s+", m[2])[-1]
+            if classes[first] == "G" and classes[last.capitalize()] == "S":
+                out.append((m.start(1), m.end(2), "name", ("name", "small", f"small:{'w' if first in WORDLIKE else 'n'}")))
     return out
 
 
+_PLAIN = Classes()
+
+
+#: Two segments are neighbours if no more characters than these part them.
+NEAR = 3
+
+
+def pair_of(text: str, one: tuple, next_: tuple) -> str:
+    """The feature of two neighbours: their kinds, and what parts them."""
+    gap = text[one[1] : next_[0]]
+    return f"{one[2]}+{next_[2]}:{'line' if chr(10) in gap else gap.strip()[:1]}"
+
+
 class Field:
-    """Weights of features, and the best labelling of a text under them."""
+    """A semi-Markov conditional random field: weights of features of whole segments and of pairs of neighbours, and what follows from them."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], lexicon: Lexicon = Lexicon()):
+        self.weights, self.classes = weights, Classes(lexicon)
 
     def score(self, feats: tuple[str, ...]) -> float:
         get = self.weights.get
         return sum(get(f, 0.0) for f in feats)
 
     def best(self, text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
-        """The segments of the labelling with the greatest sum of scores.
+        """The segments of the labelling with the greatest score.
 
-        Text between segments scores nothing.  Candidates are ordered by their
-        ends; the best labelling of a prefix either leaves the last candidate
-        out or takes it after the best labelling of what lies before it.
+        The score of a labelling is the sum of those of its segments and of
+        its pairs of neighbours; text between segments scores nothing.
+        Segments are bounded by the candidates, which are taken in the order
+        of their ends: the best labelling that ends with one follows the best
+        of all that lies before it, or one that ends with a neighbour.
         """
-        scored = [(c, s) for c in candidates(text) if (s := self.score(c[3])) > 0]
+        scored = [(c, s) for c in candidates(text, self.classes) if (s := self.score(c[3])) > -2]
         if len(scored) < 2:
-            return [c for c, _ in scored]
+            return [c for c, s in scored if s > 0]
         scored.sort(key=lambda x: (x[0][1], x[0][0]))
         ends = [c[1] for c, _ in scored]
-        gains, back = [0.0], []
+        gains, chains, back, taken = [0.0], [], [], []
         for i, (c, s) in enumerate(scored):
             j = i
             while j and ends[j - 1] > c[0]:
                 j -= 1
-            take = gains[j] + s
+            most, prior = gains[j], -1 - j
+            k = j - 1
+            while k >= 0 and ends[k] >= c[0] - NEAR:
+                chain = chains[k] + self.weights.get(pair_of(text, scored[k][0], c), 0.0)
+                if chain > most:
+                    most, prior = chain, k
+                k -= 1
+            chains.append(most + s)
+            back.append(prior)
             # of equal sums the one with the longer last segment
-            back.append(j if take >= gains[-1] else -1)
-            gains.append(max(take, gains[-1]))
+            take = chains[i] >= gains[-1] and chains[i] > 0
+            taken.append(take)
+            gains.append(chains[i] if take else gains[-1])
         out, i = [], len(scored)
-        while i:
-            if back[i - 1] >= 0:
-                out.append(scored[i - 1][0])
-                i = back[i - 1]
-            else:
+        while i > 0:
+            if not taken[i - 1]:
                 i -= 1
+                continue
+            k = i - 1
+            while True:
+                out.append(scored[k][0])
+                if back[k] < 0:
+                    i = -1 - back[k]
+                    break
+                k = back[k]
         return out[::-1]
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
@@ -313,44 +429,78 @@ def field() -> Field:
     return _LOADED[0]
 
 
-def personal_spans(texts: DataFrame, field_name: str, key: str, text: str) -> DataFrame:
+#: A part of a name is known from this share of all names on, so a lexicon has at most 300,000 parts or so.
+KNOWN_SHARE = 0.00001
+
+
+def lexicon(*names: DataFrame) -> Lexicon:
+    """The given and family names among typed names of people (one column each), "First Last" or "Last, First".
+
+    Parts are counted over all names; a part is given or family by where it
+    stands more often.  Initials, particles and parts of a letter are left
+    out, as are texts of more than five words, which are no names.
+    """
+    every = names[0].toDF("name")
+    for n in names[1:]:
+        every = every.unionAll(n.toDF("name"))
+    turned = F.regexp_replace(F.trim("name"), r"^([^,]+),\s*(.+)$", "$2 $1")
+    words = F.filter(F.split(F.lower(turned), r"\s+"), lambda w: (F.length(w) > 1) & ~w.rlike(r"\.$|[\d@<>/]") & ~w.isin("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "el", "al", "bin", "dr", "mr", "mrs", "ms"))
+    parts = every.where(F.col("name").isNotNull()).select(words.alias("w")).where(F.size("w").between(2, 5))
+    each = F.concat(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x: F.struct(x.alias("part"), F.lit(1).alias("given"))), F.array(F.struct(F.element_at("w", -1).alias("part"), F.lit(0).alias("given"))))
+    counts = parts.select(F.explode(each).alias("p")).groupBy("p.part").agg(F.count(F.lit(1)).alias("n"), F.sum("p.given").alias("given"))
+    least = counts.agg(F.sum("n")).scalar() * F.lit(KNOWN_SHARE)
+    rows = counts.where(F.col("n") >= least).select("part", (F.col("given") * 2 > F.col("n")).alias("g")).collect()  # at most 1 / KNOWN_SHARE parts
+    family = {x for r in rows if not r.g for x in (r.part, re.sub(r"^(?:o['’]|mc)", "", r.part), *r.part.split("-")) if len(x) > 1}
+    return Lexicon(frozenset(r.part for r in rows if r.g) - COMMON, frozenset(family) - COMMON)
+
+
+def personal_spans(texts: DataFrame, field_name: str, key: str, text: str, known: Lexicon = Lexicon()) -> DataFrame:
     """Each place of personal information in a column: field_name, row_key, kind, start_at, end_at.
 
-    Each text is read whole where it stands, without a shuffle.  Null and
-    empty texts have no places; repeated rows come out as often as they
-    stand there; a null key comes out as null; other columns are not read.
+    Each text is read whole where it stands, without a shuffle.  ``known``
+    are names of the corpus, see ``lexicon``; others are found by their
+    shape and what stands about them.  Null and empty texts have no places;
+    repeated rows come out as often as they stand there; a null key comes out
+    as null; other columns are not read.
     """
+    return personal_places(texts, key, {field_name: text}, known)
+
+
+def personal_places(texts: DataFrame, key: str, fields: dict[str, str], known: Lexicon = Lexicon()) -> DataFrame:
+    """``personal_spans`` of several columns (name in the result: column), which are read in one pass."""
     ship(texts.sparkSession)
     weights = json.loads(WEIGHTS.read_text())
 
+    names = list(fields)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = Field(weights)
-        known: dict[str, list[tuple[int, int, str]]] = {}
+        crf = Field(weights, known)
         for batch in batches:
-            rows: list[int] = []
-            found: list[tuple[int, int, str]] = []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                if value:
-                    spans = crf.spans(value)
-                    found += spans
-                    rows += [i] * len(spans)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([k for *_, k in found], pa.string()), pa.array([a for a, _, _ in found], pa.int32()), pa.array([b for _, b, _ in found], pa.int32())],
-                ["row_key", "kind", "start_at", "end_at"],
-            )
-
-    some = texts.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("text"))
-    return some.mapInArrow(find, "row_key bigint, kind string, start_at int, end_at int").select(F.lit(field_name).alias("field_name"), "row_key", "kind", "start_at", "end_at")
-
-
-def masked(texts: DataFrame, text: str, to: str = "masked") -> DataFrame:
+            for n, column in zip(names, batch.columns[1:]):
+                rows: list[int] = []
+                found: list[tuple[int, int, str]] = []
+                for i, value in enumerate(column.to_pylist()):
+                    if value:
+                        spans = crf.spans(value)
+                        found += spans
+                        rows += [i] * len(spans)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n] * len(rows), pa.string()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array([k for *_, k in found], pa.string()), pa.array([a for a, _, _ in found], pa.int32()), pa.array([b for _, b, _ in found], pa.int32())],
+                    ["field_name", "row_key", "kind", "start_at", "end_at"],
+                )
+
+    some = texts.select(F.col(key).cast("bigint").alias("row_key"), *[F.col(c).alias(f"text_{i}") for i, c in enumerate(fields.values())])
+    return some.mapInArrow(find, "field_name string, row_key bigint, kind string, start_at int, end_at int")
+
+
+def masked(texts: DataFrame, text: str, to: str = "masked", known: Lexicon = Lexicon()) -> DataFrame:
     """``texts`` with a column in which each place of personal information in ``text`` is replaced by ``[KIND]``; null stays null."""
     ship(texts.sparkSession)
     weights = json.loads(WEIGHTS.read_text())
 
     @F.arrow_udf("string")
     def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        crf = Field(weights)
+        crf = Field(weights, known)
         for values in batches:
             yield pa.array([None if x is None else replaced(x, crf.spans(x)) for x in values.to_pylist()], pa.string())
 

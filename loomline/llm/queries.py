@@ -10,7 +10,7 @@ from loomline.llm.encoding import encode_corpus
 from loomline.llm.leakage import leaked
 from loomline.llm.linkage import repeated_postings
 from loomline.llm.names import same_organisation
-from loomline.llm.pii import personal_spans
+from loomline.llm.pii import lexicon, personal_places
 from loomline.llm.spans import repeated_lines, shared_amounts, shared_stretches
 from loomline.runtime import read_table
 
@@ -43,8 +43,8 @@ def p5_corrected(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     mail, evidence = read_table(spark, folder, "messages"), read_table(spark, folder, "evidence")
-    parts = [personal_spans(mail, "body", "row_no", "body"), personal_spans(mail, "snippet", "row_no", "snippet"), personal_spans(evidence, "quote", "evidence_id", "quote")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    known = lexicon(read_table(spark, folder, "contacts").select("full_name"), evidence.select("who"))
+    return personal_places(mail, "row_no", {"body": "body", "snippet": "snippet"}, known).unionAll(personal_places(evidence, "evidence_id", {"quote": "quote"}, known))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
