@@ -85,14 +85,47 @@ _NO_NAME_BEFORE = frozenset("@./'’-_")
 _LONE = re.compile(r"\n[>| \t–—-]*([^\W\d_][\w'’-]{1,24})(?=[,!.]*[ \t\r]*(?:\n|$))")
 _NEXT = re.compile(rf"(?P<dot>\.)?(?P<comma>,)?{_G}(?P<word>[^\W\d_](?:[\w'’]|-(?=\w))*)")
 _PARTICLE = re.compile(rf"^(?:van(?:{_G}de[rn]?)?|von|de|del|della|di|da|dos|el|al|bin|der|den)$")
-# what stands right before a name: greetings, fields of headers, titles, and words that only people follow
-_CUE = re.compile(
-    rf"(?P<greet>(?:^|\n)[>| \t]*(?:Hi|Hello|Dear|Hey|Good (?:morning|afternoon|evening)|Bonjour|Hola|Hallo|Liebe|Lieber|Cher|Chère|Caro|Cara|Ciao|Hej|Kära|Olá|Estimado|Estimada){_G})"
-    rf"|(?P<head>(?:^|\n)[>| \t]*(?:From|To|Cc|Von|An|De|Da|À|Från|Para):{_G}?)|(?P<title>\b(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Sr|Sra)\.?{_G})"
-    rf"|(?P<cue>\b(?:my name is|I am|I'm|this is|spoke (?:to|with)|speak (?:to|with)|talked to|hello to|regards to|meet|met|ask(?:ed)?(?: for)?|thank|told|invited|called|contact|interview(?:ed)? (?:with|by)|referred by|introduced by|report to|reports to|signed by){_G})"
-)
-# what stands right after one
-_SAID = re.compile(rf"{_G}<[\w.+-]+@|{_G}(?:wrote|writes|schrieb|said|suggested|called|asked|joined)\b|{_G}(?:a écrit|escribió|ha scritto|skrev)")
+# what stands right before a name: greetings and fields of headers at the start of a line, titles, and words that only people follow; and right after one
+_GREET = "Hi|Hello|Dear|Hey|hi|hey|Good morning|Good afternoon|Good evening|Bonjour|Hola|Hallo|Liebe|Lieber|Cher|Chère|Caro|Cara|Ciao|Hej|Kära|Olá|Estimado|Estimada".split("|")
+_HEAD = "From:|To:|Cc:|Von:|An:|De:|Da:|À:|Från:|Para:".split("|")
+_TITLE = "Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Sr|Sra".split("|")
+_CUES = (
+    "my name is|My name is|I am|I'm|this is|This is|spoke to|spoke with|speak to|speak with|talked to|hello to|regards to|meet|met|ask|asked|ask for|asked for|thank|told|invited|called|contact|interview with|interviewed by|referred by|introduced by|report to|reports to|signed by"
+).split("|")
+_SAID = "<|wrote|writes|schrieb|said|suggested|called|asked|joined|a écrit|escribió|ha scritto|skrev".split("|")
+_BEGINS = [(w, kind) for kind, words in (("greet", _GREET), ("head", _HEAD), ("title", _TITLE), ("cue", _CUES)) for w in words]
+# the ends of streets, all of which a comma follows, and beginnings of addresses in other forms; without any there is no address
+_STREETS = [f"{w}{dot}," for w in "Street St Avenue Ave Road Rd Boulevard Blvd Court Ct Lane Ln Drive Dr Place Pl Square Sq Terrace Way Close Row Walk Crescent Quay".split() for dot in ("", ".")]
+_STREETS += ["Box", "rue", "avenue", "boulevard", "place", "quai", "chemin", "Via", "Viale", "Piazza", "Corso", "Calle", "Avenida", "Plaza", "Paseo", "Rua", "Praça"]
+_WORDS_OF: dict[str, list[str]] = {}
+for _w, _k in [*_BEGINS, *((w, "said") for w in _SAID), *((w, "street") for w in _STREETS)]:
+    _WORDS_OF.setdefault(_w, []).append(_k)
+try:
+    import ahocorasick
+
+    _FINDER = ahocorasick.Automaton()
+    for _w, _k in _WORDS_OF.items():
+        _FINDER.add_word(_w, (_w, _k))
+    _FINDER.make_automaton()
+except ImportError:
+    _FINDER = None
+
+
+def _marks(text: str) -> Iterator[tuple[int, str, list[str]]]:
+    """Each place of a word that tells of names or addresses: start, word, what it may be; all in one pass where the automaton is at hand."""
+    if _FINDER is not None:
+        for last, (word, kinds) in _FINDER.iter(text):
+            yield last + 1 - len(word), word, kinds
+        return
+    for word, kinds in _WORDS_OF.items():
+        at = text.find(word)
+        while at >= 0:
+            yield at, word, kinds
+            at = text.find(word, at + 1)
+
+
+_GAPS = re.compile(rf"\.?{_G}")
+_MAIL = re.compile(r"<[\w.+-]+@")
 _PART = rf"(?:(?:van|von|de|der|den|da|di|del|el|al|bin){_G})?[^\W\d_a-zß-öø-ÿ][\w'’-]*\w"
 _RUN = re.compile(rf"{_PART}(?:{_G}(?:[A-ZÀ-Þ]\.{_G})?{_PART}){{0,3}}")
 _RUN_END = re.compile(rf"(?:^|(?<=[\s(>]))({_PART}(?:{_G}(?:[A-ZÀ-Þ]\.{_G})?{_PART}){{0,3}})$")
@@ -184,10 +217,22 @@ def _names(text: str, classes: Classes) -> Iterator[tuple[int, int, str, list[st
                 yield m.start(), stop, shape, words
 
 
-_SMALL = re.compile(rf"(?<![\w@./'’-])([a-zß-öø-ÿ][\w'’-]*){_G}((?:(?:van|von|de|der|den){_G})*[a-zß-öø-ÿ][\w'’-]*)(?![\w@])")
+_SMALL_NEXT = re.compile(rf"{_G}((?:(?:van|von|de|der|den){_G})*[a-zß-öø-ÿ][\w'’-]*)(?![\w@])")
+
 
+def _small(text: str, classes: Classes) -> Iterator[tuple[int, int, str]]:
+    """Known given names in small letters with a known family name after them: start, end, given name."""
+    given = classes.given
+    for first in {w for w in text.split() if w in given}:
+        at = text.find(first)
+        while at >= 0:
+            if not (at and (text[at - 1].isalnum() or text[at - 1] in "@./'’-_")) and (n := _SMALL_NEXT.match(text, at + len(first))):
+                if classes[re.split(r"[\s>|]+", n[1])[-1].capitalize()] == "S":
+                    yield at, n.end(), first
+            at = text.find(first, at + 1)
 
-def _cued(text: str, classes: Classes) -> Iterator[tuple[int, int, str, str]]:
+
+def _cued(text: str, marks: list[tuple[int, str, list[str]]], classes: Classes) -> Iterator[tuple[int, int, str, str]]:
     """Runs of words with a capital that no list knows, where what stands about them says that they name somebody: start, end, cue, shape."""
 
     def shaped(start: int, end: int, cue: str) -> Iterator[tuple[int, int, str, str]]:
@@ -202,13 +247,28 @@ def _cued(text: str, classes: Classes) -> Iterator[tuple[int, int, str, str]]:
             if "C" in shape and shape[-1] not in "PI" and shape not in _SHAPES:
                 yield start, stop, cue, shape
 
-    for m in _CUE.finditer(text):
-        if run := _RUN.match(text, m.end()):
-            yield from shaped(run.start(), run.end(), m.lastgroup)
-    for m in _SAID.finditer(text):
-        low = max(0, m.start() - 80)
-        if run := _RUN_END.search(text[low : m.start()]):
-            yield from shaped(low + run.start(1), low + run.end(1), "said")
+    for at, word, kinds in marks:
+        end = at + len(word)
+        for cue in kinds:
+            if cue == "said":
+                # what stands before has to end with a word with a capital
+                before = text[max(0, at - 80) : at]
+                told = before.rstrip("  \t\r\n>|")
+                last = told[told.rfind(" ") + 1 :]
+                if len(told) < len(before) and last[:1].isupper() and (word != "<" or _MAIL.match(text, at)) and (run := _RUN_END.search(told)):
+                    low = at - len(before)
+                    yield from shaped(low + run.start(1), low + run.end(1), "said")
+                continue
+            if cue == "street" or not text[end : end + 1] or text[end].isalnum():
+                continue
+            if cue in ("greet", "head"):
+                fits = not text[text.rfind("\n", 0, at) + 1 : at].strip(" \t>|")
+            else:
+                fits = not at or not (text[at - 1].isalnum() or text[at - 1] in "@./-_")
+            if fits:
+                gap = _GAPS.match(text, end)
+                if (gap or cue == "head") and (run := _RUN.match(text, gap.end() if gap else end)):
+                    yield from shaped(run.start(), run.end(), cue)
     for m in _LINE_NAME.finditer(text):
         yield from shaped(m.start(1), m.end(1), "line")
 
@@ -220,13 +280,19 @@ def _alone(text: str, start: int, end: int) -> bool:
 
 
 _LABEL = re.compile(r"([^\W\d_][\w'’&]*)[^\w]{0,12}$")
-_BEFORE = re.compile(r"([\w'’&]+)[^\w\n]{0,3}$|(^|\n)[>| \t-]*$")
 _AFTER = re.compile(r"^[  ]?(?:\r?\n)?[>| \t]*([\w'’]+)|^([,.!?:;)\]>|]|\s*$|\s*\r?\n)")
 
 
+_MARKS_BEFORE = " ,.;:!?()[]{}\"'’-–—>|<*~#/\t\r\u00a0…"
+
+
 def _word_before(text: str, start: int) -> str:
-    m = _BEFORE.search(text[max(0, start - 24) : start])
-    return ("^" if not m or m[1] is None else m[1].lower()) if start else "^"
+    """The word before a place, with at most three marks between; "^" for none on its line."""
+    head = text[max(0, start - 24) : start]
+    core = head.rstrip(_MARKS_BEFORE)
+    if not core or core[-1] == "\n" or len(head) - len(core) > 3:
+        return "^"
+    return core.rsplit(None, 1)[-1].lstrip(_MARKS_BEFORE).lower() or "^"
 
 
 def _label(text: str, start: int) -> str:
@@ -273,6 +339,40 @@ def _within(pattern: re.Pattern, text: str, spots: list[tuple[int, int]]) -> Ite
             done = at = whole.end() if whole else m.start() + 1
 
 
+class _NameFeatures(dict):
+    """Features of a name by all that they depend on, remembered."""
+
+    def __missing__(self, key: tuple) -> tuple[str, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        feats = self[key] = self.of(*key)
+        return feats
+
+    @staticmethod
+    def of(shape: str, one: bool, word: bool, june: bool, before: str, after: str, case: str, alone: bool) -> tuple[str, ...]:
+        feats = ["name", f"name:{shape}"]
+        w = "w" if word else "n"
+        if one:
+            follows = after.capitalize() if case == "upper" else after
+            feats += [f"one:{w}:{shape}", f"one:{w}<{before}", f"one:{w}>{follows}", f"one:{w}>:{case}", f"one:{w}:{before if before[0] == '^' else 'in'}:{case}"]
+            if alone:
+                feats.append(f"one:{w}:alone")
+            if after in WEEKDAYS:
+                feats.append(f"one:{w}>weekday")
+            if june and before in MONTH_BEFORE:
+                feats.append("month")
+            if shape == "S":
+                feats.append(f"family<{before}")
+        else:
+            feats += [f"many:{w}", f"many<{before}" if before in ("the", "a", "^") else "many<other"]
+            if shape[-1] == "C":
+                feats += [f"guess<{before}", f"guess>{after if len(after) < 3 or after in WEEKDAYS else 'word'}"]
+        return tuple(feats)
+
+
+_NAME_FEATURES = _NameFeatures()
+
+
 def candidates(text: str, classes: Classes | None = None) -> list[tuple[int, int, str, tuple[str, ...]]]:
     """Candidate spans with their kind and features of the whole span."""
     classes = _PLAIN if classes is None else classes
@@ -296,37 +396,20 @@ def candidates(text: str, classes: Classes | None = None) -> list[tuple[int, int
                 form, digits = m.lastgroup, sum(map(str.isdigit, m.group()))
                 size = "few" if digits < 7 else "many" if digits > 20 else "fit"
                 out.append((m.start(), m.end(), kind, (kind, f"{kind}:{form}:{size}", f"{kind}<{_label(text, m.start())}")))
+    marks = list(_marks(text))
     if "," in text:
-        for pattern in (_ADDRESS, _GERMAN) if any(x in text for x in _STREET_LAST) else (_ADDRESS,):
+        told = any("street" in kinds for *_, kinds in marks)
+        for pattern in [p for p, there in ((_ADDRESS, told), (_GERMAN, any(x in text for x in _STREET_LAST))) if there]:
             for m in pattern.finditer(text):
                 out.append((m.start(), m.end(), "address", ("address", f"address:{m.lastgroup}")))
     for start, end, shape, words in _names(text, classes):
         before, after = _word_before(text, start), _word_after(text, end)
         if text[max(0, start - 2) : start].strip()[-1:] in (".", "?", "!"):
             before = "^."
-        low = words[0].lower()
-        feats = ["name", f"name:{shape}"]
-        if len(words) == 1:
-            wordlike = "w" if low in WORDLIKE else "n"
-            rest = text[end : end + 2].strip()
-            case = "end" if not rest else "digit" if rest[0].isdigit() else "lower" if rest[0].islower() else "upper" if rest[0].isupper() else "mark"
-            if case == "upper":
-                after = after.capitalize()
-            feats += [f"one:{wordlike}:{shape}", f"one:{wordlike}<{before}", f"one:{wordlike}>{after}", f"one:{wordlike}>:{case}", f"one:{wordlike}:{before if before[0] == '^' else 'in'}:{case}"]
-            if _alone(text, start, end):
-                feats.append(f"one:{wordlike}:alone")
-            if after.lower() in WEEKDAYS:
-                feats.append(f"one:{wordlike}>weekday")
-            if low == "june" and before in MONTH_BEFORE:
-                feats.append("month")
-            if shape == "S":
-                feats.append(f"family<{before}")
-        else:
-            feats += [f"many:{'w' if low in WORDLIKE else 'n'}", f"many<{before}" if before in ("the", "a", "^") else "many<other"]
-            if shape[-1] == "C":
-                feats += [f"guess<{before}", f"guess>{after if len(after) < 3 or after in WEEKDAYS else 'word'}"]
-        out.append((start, end, "name", tuple(feats)))
-    for start, end, cue, shape in dict.fromkeys(_cued(text, classes)):
+        low, rest = words[0].lower(), text[end : end + 2].strip()
+        case = "end" if not rest else "digit" if rest[0].isdigit() else "lower" if rest[0].islower() else "upper" if rest[0].isupper() else "mark"
+        out.append((start, end, "name", _NAME_FEATURES[shape, len(words) == 1, low in WORDLIKE, low == "june", before, after, case, len(words) == 1 and _alone(text, start, end)]))
+    for start, end, cue, shape in dict.fromkeys(_cued(text, marks, classes)):
         after, firm = _word_after(text, end), re.split(r"\W+", text[start:end])[-1].lower() in FIRMS
         feats = ["name", f"cue:{cue}", f"cue:{cue}:{shape}", f"cue>{after if len(after) < 3 else 'firm' if after in FIRMS else 'word'}", f"firm:{firm}"]
         if cue == "line":
@@ -336,10 +419,8 @@ def candidates(text: str, classes: Classes | None = None) -> list[tuple[int, int
             feats.append(f"line:{shape}:{told}")
         out.append((start, end, "name", tuple(feats)))
     if classes.family:
-        for m in _SMALL.finditer(text):
-            first, last = m[1], re.split(r"\s+", m[2])[-1]
-            if classes[first] == "G" and classes[last.capitalize()] == "S":
-                out.append((m.start(1), m.end(2), "name", ("name", "small", f"small:{'w' if first in WORDLIKE else 'n'}")))
+        for start, end, first in _small(text, classes):
+            out.append((start, end, "name", ("name", "small", f"small:{'w' if first in WORDLIKE else 'n'}")))
     return out
 
 
@@ -361,10 +442,16 @@ class Field:
 
     def __init__(self, weights: dict[str, float], lexicon: Lexicon = Lexicon()):
         self.weights, self.classes = weights, Classes(lexicon)
+        self.scores: dict[tuple[str, ...], float] = {}
 
     def score(self, feats: tuple[str, ...]) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in feats)
+        known = self.scores.get(feats)
+        if known is None:
+            if len(self.scores) > 200_000:
+                self.scores.clear()
+            get = self.weights.get
+            known = self.scores[feats] = sum(get(f, 0.0) for f in feats)
+        return known
 
     def best(self, text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         """The segments of the labelling with the greatest score.
@@ -385,9 +472,12 @@ class Field:
             j = i
             while j and ends[j - 1] > c[0]:
                 j -= 1
-            most, prior = gains[j], -1 - j
+            # what ends farther off is followed for nothing, a neighbour at the price of the pair
             k = j - 1
-            while k >= 0 and ends[k] >= c[0] - NEAR:
+            while j and ends[j - 1] >= c[0] - NEAR:
+                j -= 1
+            most, prior = gains[j], -1 - j
+            while k >= j:
                 chain = chains[k] + self.weights.get(pair_of(text, scored[k][0], c), 0.0)
                 if chain > most:
                     most, prior = chain, k
