@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ COMMON = frozenset(
     "the this that these those there they them their then than thanks thank please would could should shall can may might must what when where which while who why how have has had our your you yes not now new next last all and any are ask but call "
     "come dear hi hello hey good morning afternoon evening best kind regards for from to cc subject date sent re if in into is it its just let look made make more most my no of on one only or other out over phone reply see since so some still team tell "
     "today tomorrow under until up use very was we well were with work monday tuesday wednesday thursday friday saturday sunday january february march july august september october november december manager engineer director recruiter "
-    "officer analyst developer consultant specialist assistant coordinator department group office company university institute street road avenue sir madam everyone colleagues hiring committee bonjour hola hallo guten herr frau mon tue wed thu fri sat sun jan feb mar apr jun jul aug sep sept oct nov dec quoting forwarded original message begin wrote partner people warmly sincerely cordially respectfully truly yours faithfully kindly cheers greetings wishes cordialement saludos atentamente grüße gruß saluti mvh".split()
+    "officer analyst developer consultant specialist assistant coordinator department group office company university institute street road avenue sir madam everyone colleagues hiring committee bonjour hola hallo guten herr frau mon tue wed thu fri sat sun jan feb mar apr jun jul aug sep sept oct nov dec quoting forwarded original message begin wrote partner people warmly sincerely cordially respectfully truly yours faithfully kindly cheers greetings wishes cordialement saludos atentamente viele liebe grüße gruß saluti mvh".split()
 )
 # Words that end names of firms.
 FIRMS = frozenset(
@@ -53,7 +54,7 @@ _CITY = rf"(?:(?:Port|Lower|Upper|San|Santa|Sundry|New|Saint|North|South|East|We
 _WORDS = rf"(?:[A-ZÀ-Þ][\w'’-]*\.?{_G}){{1,4}}"
 _SIGN_AT, _TOLD_AT = re.compile("@"), re.compile(r"[(\[](?:at|AT)[)\]]|(?<=\s)AT(?=\s)")
 _TOLD = ("AT", "(at)", "[at]")
-_LOCAL = re.compile(rf"[\w.+-]*\w(?={_G}?$)")
+_GAP_END = re.compile(rf"{_G}$")
 _GAP = re.compile(_G)
 _DOMAIN = re.compile(rf"[\w-]+(?:(?:\.|{_G}?[(\[](?:dot|DOT)[)\]]{_G}?|{_G}DOT{_G})\w[\w-]*)+")
 _PHONE = re.compile(
@@ -98,7 +99,7 @@ _BEGINS = [(w, kind) for kind, words in (("greet", _GREET), ("head", _HEAD), ("t
 _STREETS = [f"{w}{dot}," for w in "Street St Avenue Ave Road Rd Boulevard Blvd Court Ct Lane Ln Drive Dr Place Pl Square Sq Terrace Way Close Row Walk Crescent Quay".split() for dot in ("", ".")]
 _STREETS += ["Box", "rue", "avenue", "boulevard", "place", "quai", "chemin", "Via", "Viale", "Piazza", "Corso", "Calle", "Avenida", "Plaza", "Paseo", "Rua", "Praça"]
 _WORDS_OF: dict[str, list[str]] = {}
-for _w, _k in [*_BEGINS, *((w, "said") for w in _SAID), *((w, "street") for w in _STREETS)]:
+for _w, _k in [*_BEGINS, *((w, "said") for w in _SAID), *((w, "street") for w in _STREETS), *((w, "strasse") for w in _STREET_LAST)]:
     _WORDS_OF.setdefault(_w, []).append(_k)
 try:
     import ahocorasick
@@ -125,6 +126,7 @@ def _marks(text: str) -> Iterator[tuple[int, str, list[str]]]:
 
 
 _GAPS = re.compile(rf"\.?{_G}")
+_TOKEN = re.compile(r"[\w'’-]+")
 _MAIL = re.compile(r"<[\w.+-]+@")
 _PART = rf"(?:(?:van|von|de|der|den|da|di|del|el|al|bin){_G})?[^\W\d_a-zß-öø-ÿ][\w'’-]*\w"
 _RUN = re.compile(rf"{_PART}(?:{_G}(?:[A-ZÀ-Þ]\.{_G})?{_PART}){{0,3}}")
@@ -159,7 +161,7 @@ class Classes(dict):
             return "S"
         if len(parts) == 2 and all(p in self.given for p in parts):
             return "G"
-        return "C" if word[0].isupper() and low not in COMMON and low[-2:] not in ("'s", "’s", "'m", "’m") else ""
+        return "C" if word[0].isupper() and low not in COMMON and low[-2:] not in ("'s", "’s", "'m", "’m") and not any(map(str.isdigit, word)) else ""
 
 
 #: Sequences of word classes that may be a name anywhere.
@@ -236,14 +238,17 @@ def _cued(text: str, marks: list[tuple[int, str, list[str]]], classes: Classes)
     """Runs of words with a capital that no list knows, where what stands about them says that they name somebody: start, end, cue, shape."""
 
     def shaped(start: int, end: int, cue: str) -> Iterator[tuple[int, int, str, str]]:
-        shape, ends = "", []
-        for w in re.finditer(r"[\w'’-]+", text[start:end]):
+        shape, ends, whole = "", [], cue in ("line", "said")
+        for w in _TOKEN.finditer(text[start:end]):
             kind = classes[w.group()]
             if not kind:
+                if whole:
+                    return
                 break
             shape += kind
             ends.append((start + w.end(), shape))
-        for stop, shape in ends[:5]:
+        # what ends a line, or stands before its verb, is a name as a whole or not at all
+        for stop, shape in ends[-1:] if whole else ends[:5]:
             if "C" in shape and shape[-1] not in "PI" and shape not in _SHAPES:
                 yield start, stop, cue, shape
 
@@ -259,7 +264,7 @@ def _cued(text: str, marks: list[tuple[int, str, list[str]]], classes: Classes)
                     low = at - len(before)
                     yield from shaped(low + run.start(1), low + run.end(1), "said")
                 continue
-            if cue == "street" or not text[end : end + 1] or text[end].isalnum():
+            if cue in ("street", "strasse") or not text[end : end + 1] or text[end].isalnum():
                 continue
             if cue in ("greet", "head"):
                 fits = not text[text.rfind("\n", 0, at) + 1 : at].strip(" \t>|")
@@ -268,7 +273,7 @@ def _cued(text: str, marks: list[tuple[int, str, list[str]]], classes: Classes)
             if fits:
                 gap = _GAPS.match(text, end)
                 if (gap or cue == "head") and (run := _RUN.match(text, gap.end() if gap else end)):
-                    yield from shaped(run.start(), run.end(), cue)
+                    yield from shaped(run.start(), run.end(), f"cue {word.lower()}" if cue == "cue" else cue)
     for m in _LINE_NAME.finditer(text):
         yield from shaped(m.start(1), m.end(1), "line")
 
@@ -339,6 +344,28 @@ def _within(pattern: re.Pattern, text: str, spots: list[tuple[int, int]]) -> Ite
             done = at = whole.end() if whole else m.start() + 1
 
 
+def _paragraphs(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """Begin and end of the paragraphs in which some places, in order, lie."""
+    out: list[tuple[int, int]] = []
+    for at in places:
+        if not out or at >= out[-1][1]:
+            end = text.find("\n\n", at)
+            out.append((text.rfind("\n\n", 0, at) + 1, end if end >= 0 else len(text)))
+    return out
+
+
+@lru_cache(100_000)
+def _number_features(kind: str, form: str, size: str, label: str) -> tuple[str, ...]:
+    return kind, f"{kind}:{form}:{size}", f"{kind}<{label}"
+
+
+@lru_cache(100_000)
+def _cue_features(cue: str, shape: str, after: str, firm: bool, told: str) -> tuple[str, ...]:
+    kind = cue.split()[0]
+    own = (f"cue:{cue}",) if kind != cue else ()
+    return "name", f"cue:{kind}", f"cue:{kind}:{shape}", f"cue>{after}", f"firm:{firm}", *own, *((f"line:{shape}:{told}",) if told else ())
+
+
 class _NameFeatures(dict):
     """Features of a name by all that they depend on, remembered."""
 
@@ -384,23 +411,39 @@ def candidates(text: str, classes: Classes | None = None) -> list[tuple[int, int
     if any(x in text for x in _TOLD):
         signs += _TOLD_AT.finditer(text)
     for m in signs:
-        plain, low = m.group() == "@", max(0, m.start() - 80)
+        plain, at = m.group() == "@", m.start()
         gap = None if plain else _GAP.match(text, m.end())
         domain = _DOMAIN.match(text, gap.end() if gap else m.end())
-        local = domain and _LOCAL.search(text[low : m.start()])
-        if local and (not plain or low + local.end() == m.start()):
-            out.append((low + local.start(), domain.end(), "email", ("email", "email:" + ("plain" if plain else "told"))))
+        if not domain:
+            continue
+        begin = at
+        if plain:
+            while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+                begin -= 1
+            fits = begin < at and (text[at - 1].isalnum() or text[at - 1] == "_")
+        else:
+            before = _GAP_END.search(text, max(0, at - 40), at)
+            last = before.start() if before else at
+            begin = last
+            while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+                begin -= 1
+            fits = begin < last and (text[last - 1].isalnum() or text[last - 1] == "_")
+        if fits:
+            out.append((begin, domain.end(), "email", ("email", "email:" + ("plain" if plain else "told"))))
     if spots := list(_spots(text)):
         for pattern, kind in ((_PHONE, "phone"), (_ID, "id_number")):
             for m in _within(pattern, text, spots):
                 form, digits = m.lastgroup, sum(map(str.isdigit, m.group()))
                 size = "few" if digits < 7 else "many" if digits > 20 else "fit"
-                out.append((m.start(), m.end(), kind, (kind, f"{kind}:{form}:{size}", f"{kind}<{_label(text, m.start())}")))
+                out.append((m.start(), m.end(), kind, _number_features(kind, form, size, _label(text, m.start()))))
     marks = list(_marks(text))
     if "," in text:
-        told = any("street" in kinds for *_, kinds in marks)
-        for pattern in [p for p, there in ((_ADDRESS, told), (_GERMAN, any(x in text for x in _STREET_LAST))) if there]:
-            for m in pattern.finditer(text):
+        # no address goes over an empty line, so those paragraphs are read that have a street
+        # a street in French follows its number
+        places = [at for at, word, kinds in marks if "street" in kinds and (not word.islower() or any(x.isdigit() for x in text[max(0, at - 12) : at]))]
+        german = [at for at, _, kinds in marks if "strasse" in kinds]
+        for pattern, begin, end in [*((_ADDRESS, a, b) for a, b in _paragraphs(text, places)), *((_GERMAN, a, b) for a, b in _paragraphs(text, german))]:
+            for m in pattern.finditer(text, begin, end):
                 out.append((m.start(), m.end(), "address", ("address", f"address:{m.lastgroup}")))
     for start, end, shape, words in _names(text, classes):
         before, after = _word_before(text, start), _word_after(text, end)
@@ -410,16 +453,15 @@ def candidates(text: str, classes: Classes | None = None) -> list[tuple[int, int
         case = "end" if not rest else "digit" if rest[0].isdigit() else "lower" if rest[0].islower() else "upper" if rest[0].isupper() else "mark"
         out.append((start, end, "name", _NAME_FEATURES[shape, len(words) == 1, low in WORDLIKE, low == "june", before, after, case, len(words) == 1 and _alone(text, start, end)]))
     for start, end, cue, shape in dict.fromkeys(_cued(text, marks, classes)):
-        after, firm = _word_after(text, end), re.split(r"\W+", text[start:end])[-1].lower() in FIRMS
-        feats = ["name", f"cue:{cue}", f"cue:{cue}:{shape}", f"cue>{after if len(after) < 3 else 'firm' if after in FIRMS else 'word'}", f"firm:{firm}"]
+        told = ""
         if cue == "line":
-            above = text[: text.rfind("\n", 0, start) + 1].rstrip(" \t\r\n>|–—-")
+            above = text[max(0, start - 200) : text.rfind("\n", 0, start) + 1].rstrip(" \t\r\n>|–—-")
             upper = above[above.rfind("\n") + 1 :].strip(" >|\t–—-")
             told = "^" if not upper else "text" if len(upper) > 32 or upper[-1] in ".?:;" else "comma" if upper[-1] in ",!" else "title" if upper.split()[-1][0].isupper() and " " in upper else "word"
-            feats.append(f"line:{shape}:{told}")
-        out.append((start, end, "name", tuple(feats)))
-    if classes.family:
-        for start, end, first in _small(text, classes):
+        last = text[start:end].rstrip(_MARKS_BEFORE)
+        after = _word_after(text, end)
+        out.append((start, end, "name", _cue_features(cue, shape, after if len(after) < 3 else "firm" if after in FIRMS else "word", _TOKEN.findall(last)[-1].lower() in FIRMS, told)))
+    for start, end, first in _small(text, classes):
             out.append((start, end, "name", ("name", "small", f"small:{'w' if first in WORDLIKE else 'n'}")))
     return out
 

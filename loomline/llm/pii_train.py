@@ -34,7 +34,7 @@ Regards,
 {name}
 Senior Buyer;Cheers
 {lower};From: {name};To: {name};From: {name} <{email}>;Cc: {name}, {name};Von: {name};
-Say hello to {one} from me.;Say hello to {name} for us.;We met {name} and {one} yesterday.;You can ask {name} about it.;I spoke to {one} on {day}.;I spoke with {name} on {day}.;My name is {name}.;This is {name} from the bank.;
+Say hello to {one} from me.;Say hello to {name} for us.;We met {name} and {one} yesterday.;You can ask {name} about it.;I spoke to {one} on {day}.;I spoke with {name} on {day}.;My name is {name}.;my name is {name} and I live in {town}.;I am {name} from Sales.;I met {name}.;They called {name} again.;Please contact {name} for keys.;We asked {name} to help.;We invited {name}.;She reports to {name}.;Signed by {name}, our clerk.;This is {name} from the bank.;
 {name} told me to write.;{one} told me to write.;Dr. {name} runs the lab.;Dr. {one} leads the team.;Prof. {one} agrees.;We will meet {name} and {one} there.;We will meet {one} and {name} there.;Mr. {fam} called twice.;{name} from Accounts joins us.;{one} from Legal joins us.;{name} will present.;{one} will present.;It was {one} who found it.;The report by {name} is late.;
 The figures that {name} sent are fine.;According to {one}, it is done.;Could {one} come too?;Could {name} come too?;Please thank {name} for lunch.;{one} and {name} agree.;Signed by {name}.;Was it {name}?;I owe {one} a call.;Tell {one} that I agree.;
 i spoke to {lowname} last week.;please ask {lowname} for the file.;say hello to {lowname}.;
@@ -65,7 +65,7 @@ Clerk
 {phone};
 Call {phone} and ask for Sales.;My number is {phone} if you need it;mobile: {phone};Tel {phone} (office);Reach us on {phone}.;direct {phone};T {phone};m. {phone};{phone};Phone: {phone} | {email};fax {phone};
 Write to {email} by {day}.;Send it to {email}; thank you;cc {email};Copy {email} in, please.;Use {email} after {day}.;mail {email};
-The SSN is {ssn}, as said.;SSN: {ssn};my social security number is {ssn};social security number: {ssn};the social security number {ssn} is hers.;National ID: {other}.;tax ID: {tax};My tax number is {tax}, as said.;driving licence: {other};Passport no. {other};passport: {other};they asked for my passport too ({other});DNI {dni};NIE: {nie};Aadhaar {aad} was given.;Aadhaar: {aad};
+The SSN is {ssn}, as said.;{ssn};It is {ssn} now.;{other};It is {other}, as asked.;It is {tax}.;SSN: {ssn};my social security number is {ssn};social security number: {ssn};the social security number {ssn} is hers.;National ID: {other}.;tax ID: {tax};My tax number is {tax}, as said.;driving licence: {other};Passport no. {other};passport: {other};they asked for my passport too ({other});DNI {dni};NIE: {nie};Aadhaar {aad} was given.;Aadhaar: {aad};
 I live at {address}.;Our home is {address}, near the park.;Post it to {address};We meet at {address} on {day}.;Deliver to {address}.;{address};Head office: {address}. Registered number 00611824.;Address: {address};
 Ticket {ticket} is closed.;The bill was $64.20, ticket {ticket}.;Invoice {invoice} is paid.;Invoice {invoice} was sent.;Build 3.11.9 is out; order 2025-118-0041 is for it.;The server is at 10.4.18.77 today.;Requisition R-2718281 is open, and the pay is $90,500.;Since 2017 we rent in {town}.;We sit in Room 12, floor 3.;Registered number 007311245.;Case {caseno} is open.;Order {caseno} shipped.;
 https://files.example/{path};The team reports to the board in {town}.;{town} is 14 stops away.;Would you take a Clerk post in {town}?;The {town} office is shut.;{cap} Systems is hiring.;We work with {cap} {cap} Ltd.;At {cap} {cap} we build boats.;{cap} group;{cap} {cap};Data Engineer, {cap} Tooling;Harbour Review;Re: {cap} {cap};The {cap} {cap} desk is closed.;From {cap} {cap} to {town}.;Dear Hiring Manager,;Dear Sir or Madam,;Hi all,;Hi team;Kind regards
