@@ -225,7 +225,7 @@ _SMALL_NEXT = re.compile(rf"{_G}((?:(?:van|von|de|der|den){_G})*[a-zß-öø-ÿ][
 def _small(text: str, classes: Classes) -> Iterator[tuple[int, int, str]]:
     """Known given names in small letters with a known family name after them: start, end, given name."""
     given = classes.given
-    for first in {w for w in text.split() if w in given}:
+    for first in given.intersection(text.split()):
         at = text.find(first)
         while at >= 0:
             if not (at and (text[at - 1].isalnum() or text[at - 1] in "@./'’-_")) and (n := _SMALL_NEXT.match(text, at + len(first))):
@@ -285,7 +285,7 @@ def _alone(text: str, start: int, end: int) -> bool:
 
 
 _LABEL = re.compile(r"([^\W\d_][\w'’&]*)[^\w]{0,12}$")
-_AFTER = re.compile(r"^[  ]?(?:\r?\n)?[>| \t]*([\w'’]+)|^([,.!?:;)\]>|]|\s*$|\s*\r?\n)")
+_AFTER = re.compile(r"[ \u00a0]?(?:\r?\n)?[>| \t]*([\w'’]{1,24})|([,.!?:;)\]>|]|\s*$|\s*\r?\n)")
 
 
 _MARKS_BEFORE = " ,.;:!?()[]{}\"'’-–—>|<*~#/\t\r\u00a0…"
@@ -307,7 +307,7 @@ def _label(text: str, start: int) -> str:
 
 
 def _word_after(text: str, end: int) -> str:
-    m = _AFTER.match(text[end : end + 24])
+    m = _AFTER.match(text, end)
     if not m:
         return "?"
     return m[1].lower() if m[1] else ("$" if not m[2].strip() else m[2])
@@ -504,7 +504,14 @@ class Field:
         of their ends: the best labelling that ends with one follows the best
         of all that lies before it, or one that ends with a neighbour.
         """
-        scored = [(c, s) for c in candidates(text, self.classes) if (s := self.score(c[3])) > -2]
+        known, score = self.scores, self.score
+        scored = []
+        for c in candidates(text, self.classes):
+            s = known.get(c[3])
+            if s is None:
+                s = score(c[3])
+            if s > -2:
+                scored.append((c, s))
         if len(scored) < 2:
             return [c for c, s in scored if s > 0]
         scored.sort(key=lambda x: (x[0][1], x[0][0]))
