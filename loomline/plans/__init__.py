@@ -2,6 +2,6 @@
 
 
 def query_sets() -> list:
-    from loomline.plans import core, mailbox, more, network, pages, payloads, relations, scalars
+    from loomline.plans import core, listings, mailbox, more, network, pages, payloads, relations, scalars
 
-    return [core, scalars, relations, payloads, more, mailbox, network, pages]
+    return [core, scalars, relations, payloads, more, mailbox, network, pages, listings]

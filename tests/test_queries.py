@@ -47,6 +47,10 @@ def test_query_equals_sql(spark, duck, name):
     query, sql = CORE[name]
     df = query(spark, FOLDER)
     got = rows_of(df.columns, df.collect())
+    if sql is None:
+        # folds that depend on an order; compared with brute force elsewhere
+        assert got
+        return
     result = duck.sql(sql)
     columns = result.columns
     assert sorted(columns) == sorted(df.columns)
