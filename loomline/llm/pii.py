@@ -53,8 +53,7 @@ _G = r"(?:[  ]|[ \t]?\r?\n[>| \t]*)"
 _CITY = rf"(?:(?:Port|Lower|Upper|San|Santa|Sundry|New|Saint|North|South|East|West|Great|Mount|Lake|Fort){_G}[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ][\w'’-]+{_G}(?:City|Falls|Springs|Beach)\b|[A-ZÀ-Þ][\w'’-]+)"
 _WORDS = rf"(?:[A-ZÀ-Þ][\w'’-]*\.?{_G}){{1,4}}"
 _SIGN_AT, _TOLD_AT = re.compile("@"), re.compile(r"[(\[](?:at|AT)[)\]]|(?<=\s)AT(?=\s)")
-_TOLD = ("AT", "(at)", "[at]")
-_GAP_END = re.compile(rf"{_G}$")
+_GAP_END, _LOCAL_BACK = re.compile(rf"{_G}$"), re.compile(r"[\w.+-]+")
 _GAP = re.compile(_G)
 _DOMAIN = re.compile(rf"[\w-]+(?:(?:\.|{_G}?[(\[](?:dot|DOT)[)\]]{_G}?|{_G}DOT{_G})\w[\w-]*)+")
 _PHONE = re.compile(
@@ -284,7 +283,6 @@ def _alone(text: str, start: int, end: int) -> bool:
     return not before.strip(" \t>|-–—") and not after.strip(" \t\r,!.")
 
 
-_LABEL = re.compile(r"([^\W\d_][\w'’&]*)[^\w]{0,12}$")
 _AFTER = re.compile(r"[ \u00a0]?(?:\r?\n)?[>| \t]*([\w'’]{1,24})|([,.!?:;)\]>|]|\s*$|\s*\r?\n)")
 
 
@@ -302,8 +300,12 @@ def _word_before(text: str, start: int) -> str:
 
 def _label(text: str, start: int) -> str:
     """The word before a number, also over a line break."""
-    m = _LABEL.search(text[max(0, start - 24) : start])
-    return m[1].lower() if m else "^"
+    head = text[max(0, start - 24) : start]
+    core = head.rstrip(_MARKS_BEFORE + "\n$£€=%&")
+    if not core or len(head) - len(core) > 12:
+        return "^"
+    word = core.rsplit(None, 1)[-1].lstrip(_MARKS_BEFORE).lower()
+    return word if word[:1].isalpha() else "^"
 
 
 def _word_after(text: str, end: int) -> str:
@@ -408,7 +410,7 @@ def candidates(text: str, classes: Classes | None = None) -> list[tuple[int, int
         out += [(m.start(), m.end(), "link", ("link",)) for m in _LINK.finditer(text)]
     # the sign in the middle is rare, so both sides are read from there
     signs = [*_SIGN_AT.finditer(text)]
-    if any(x in text for x in _TOLD):
+    if "AT" in text or "(at)" in text or "[at]" in text:
         signs += _TOLD_AT.finditer(text)
     for m in signs:
         plain, at = m.group() == "@", m.start()
@@ -418,7 +420,9 @@ def candidates(text: str, classes: Classes | None = None) -> list[tuple[int, int
             continue
         begin = at
         if plain:
-            while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            if n := _LOCAL_BACK.match(text[max(0, at - 64) : at][::-1]):
+                begin -= n.end()
+            while begin and at - begin >= 64 and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
                 begin -= 1
             fits = begin < at and (text[at - 1].isalnum() or text[at - 1] == "_")
         else:
@@ -568,6 +572,18 @@ def field() -> Field:
     return _LOADED[0]
 
 
+_FIELDS: dict[tuple[int, int, int], Field] = {}
+
+
+def shared_field(weights: dict[str, float], known: Lexicon) -> Field:
+    """One field per weights, lexicon and Python worker, so that what it remembers serves all tasks of the worker."""
+    key = hash(known.given), hash(known.family), hash(frozenset(weights.items()))
+    if key not in _FIELDS:
+        _FIELDS.clear()
+        _FIELDS[key] = Field(weights, known)
+    return _FIELDS[key]
+
+
 #: A part of a name is known from this share of all names on, so a lexicon has at most 300,000 parts or so.
 KNOWN_SHARE = 0.00001
 
@@ -613,7 +629,7 @@ def personal_places(texts: DataFrame, key: str, fields: dict[str, str], known: L
     names = list(fields)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = Field(weights, known)
+        crf = shared_field(weights, known)
         for batch in batches:
             for n, column in zip(names, batch.columns[1:]):
                 rows: list[int] = []
@@ -639,7 +655,7 @@ def masked(texts: DataFrame, text: str, to: str = "masked", known: Lexicon = Lex
 
     @F.arrow_udf("string")
     def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        crf = Field(weights, known)
+        crf = shared_field(weights, known)
         for values in batches:
             yield pa.array([None if x is None else replaced(x, crf.spans(x)) for x in values.to_pylist()], pa.string())
 
