@@ -130,7 +130,7 @@ _MAIL = re.compile(r"<[\w.+-]+@")
 _PART = rf"(?:(?:van|von|de|der|den|da|di|del|el|al|bin){_G})?[^\W\d_a-zß-öø-ÿ][\w'’-]*\w"
 _RUN = re.compile(rf"{_PART}(?:{_G}(?:[A-ZÀ-Þ]\.{_G})?{_PART}){{0,3}}")
 _RUN_END = re.compile(rf"(?:^|(?<=[\s(>]))({_PART}(?:{_G}(?:[A-ZÀ-Þ]\.{_G})?{_PART}){{0,3}})$")
-_LINE_NAME = re.compile(rf"(?:^|\n)[>| \t]*(?:[–—-] ?)?({_PART}(?: (?:[A-ZÀ-Þ]\. )?{_PART}){{0,3}})(?=[,]?[ \t\r]*(?:\n|$))")
+_LINE_NAME = re.compile(rf"\n[>| \t]*(?:[–—-] ?)?({_PART}(?: (?:[A-ZÀ-Þ]\. )?{_PART}){{0,3}})(?=[,]?[ \t\r]*(?:\n|$))")
 
 
 class Classes(dict):
@@ -273,8 +273,9 @@ def _cued(text: str, marks: list[tuple[int, str, list[str]]], classes: Classes)
                 gap = _GAPS.match(text, end)
                 if (gap or cue == "head") and (run := _RUN.match(text, gap.end() if gap else end)):
                     yield from shaped(run.start(), run.end(), f"cue {word.lower()}" if cue == "cue" else cue)
-    for m in _LINE_NAME.finditer(text):
-        yield from shaped(m.start(1), m.end(1), "line")
+    # the break before makes the search skip from line to line
+    for m in _LINE_NAME.finditer("\n" + text):
+        yield from shaped(m.start(1) - 1, m.end(1) - 1, "line")
 
 
 def _alone(text: str, start: int, end: int) -> bool:
