@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomline.functions.keys import company_key, employer_key, person_key, profile_slug, same_employer, text
-from loomline.operators.skew import join_hot
-from loomline.runtime import ship
+from loomline.operators.skew import join_hot, join_key_facts
+from loomline.runtime import cut, ship
+
+#: ``alias_pairs``: persons with so many employers are numbered, so many at most, and their employers paired in blocks of about so many.
+WIDE, MOST, BLOCK = 64, 1024, 1000
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -102,11 +107,60 @@ def _same(held: dict, key: str, tokens: set[str], generic: set[str]) -> bool:
 def alias_pairs(seen: DataFrame) -> DataFrame:
     """Pairs of employers' keys under which one person (person, employer) is seen, each once, the smaller first.
 
-    A person with many employers is dealt to several tasks; pairs within a
-    person are what is asked for.
+    Pairs grow with the square of a person's employers, so they are not
+    shuffled to be made distinct.  The ``MOST`` persons with the most
+    employers, ``WIDE`` at least, are numbered, and each employer carries the
+    numbers of those it stands under as bits; a pair comes out under the
+    first number that both have.  Pairs of other persons come out if no
+    number is shared; they are made distinct only where both employers stand
+    under several of these persons.
     """
-    rows = seen.select("person", company_key("employer").alias("employer")).where("person != '' and employer != ''").distinct()
-    return join_hot(rows, rows.withColumnRenamed("employer", "other"), "person").where("employer < other").select(F.col("employer").alias("employer_a"), F.col("other").alias("employer_b")).distinct()
+    rows = cut(seen.select("person", company_key("employer").alias("employer")).where("person != '' and employer != ''").distinct())
+    shared = cut(join_key_facts(rows, rows.groupBy("person").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "person", "n"))
+    most = shared.where(F.col("n") >= WIDE).select("person", "n").distinct().orderBy(F.desc("n"), "person").limit(MOST)
+    wide = cut(most.withColumn("bit", F.row_number().over(Window.orderBy(F.desc("n"), "person")) - 1))
+    parts = F.ceil(F.col("n") / BLOCK)
+    numbered, blocks = wide.agg(F.count(F.lit(1)), F.sum(parts * (parts + 1) / 2)).first()
+    words = [f"w{k}" for k in range(max(1, -(-numbered // 63)))]
+    under = shared.join(F.broadcast(wide.select("person", "bit")), "person").select("employer", "n", "bit")
+    bits = cut(under.groupBy("employer").agg(*[F.bit_or(F.when(F.floor(F.col("bit") / 63) == k, F.expr("shiftleft(1L, bit % 63)")).otherwise(F.lit(0))).alias(w) for k, w in enumerate(words)]))
+    others = _pairs_of_others(shared.join(F.broadcast(wide.select("person")), "person", "left_anti"), bits, words)
+    return others.unionAll(_pairs_in_blocks(under, bits, words, int(blocks))) if numbered else others
+
+
+def _shared(x: str, y: str, words: list[str], within: str = "") -> Column:
+    """Whether the bits of two employers have one in common, among those of the columns ``within`` if named."""
+    return functools.reduce(lambda a, b: a | b, [F.col(f"{x}{w}").bitwiseAND(F.col(f"{y}{w}")).bitwiseAND(F.col(f"{within}{w}") if within else F.lit(-1)) != 0 for w in words], F.lit(False))
+
+
+def _pairs_in_blocks(under: DataFrame, bits: DataFrame, words: list[str], blocks: int) -> DataFrame:
+    """Pairs of employers of the numbered persons: employers (employer, n, bit) go into blocks of about ``BLOCK``, each block meets each other one, and only there pairs are made."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    held = under.join(bits, "employer").select("bit", parts.alias("parts"), F.pmod(F.xxhash64("employer"), parts).cast("int").alias("part"), F.struct("employer", *words).alias("e"))
+    lists = cut(held.groupBy("bit", "parts", "part").agg(F.collect_list("e").alias("es")))
+    own, tasks = ["bit", "i", "j"], max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
+    left = lists.select("bit", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), F.col("es").alias("xs"))
+    right = lists.select("bit", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("es").alias("ys"))
+    # lists are sent to many, so the size of their table says nothing of a broadcast
+    met = left.repartition(tasks, *own).join(right.repartition(tasks, *own).hint("merge"), own)
+    at = F.floor(F.col("bit") / 63)
+    earlier = [F.when(at > k, F.lit(-1)).when(at == k, F.expr("shiftleft(1L, bit % 63) - 1")).otherwise(F.lit(0)).cast("bigint").alias(f"b_{w}") for k, w in enumerate(words)]
+    each = met.select("i", "j", *earlier, "ys", F.explode("xs").alias("x")).select("i", "j", *[f"b_{w}" for w in words], "x", F.explode("ys").alias("y"))
+    once = each.where(((F.col("i") < F.col("j")) | (F.col("x.employer") < F.col("y.employer"))) & ~_shared("x.", "y.", words, "b_"))
+    return once.select(F.least("x.employer", "y.employer").alias("employer_a"), F.greatest("x.employer", "y.employer").alias("employer_b"))
+
+
+def _pairs_of_others(shared: DataFrame, bits: DataFrame, words: list[str]) -> DataFrame:
+    """Pairs of employers of the persons without a number (person, employer) that stand under no numbered one together."""
+    facts = shared.groupBy("employer").agg(F.count(F.lit(1)).alias("m")).join(bits, "employer", "left").select("employer", "m", *[F.coalesce(w, F.lit(0)).alias(w) for w in words])
+    rows = cut(join_key_facts(shared.select("person", "employer"), facts, "employer", "m"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        far = rows.select("person", F.col("employer").alias("other"), F.col("m").alias("o_m"), *[F.col(w).alias(f"o_{w}") for w in words])
+        return rows.join(far, "person").where((F.col("employer") < F.col("other")) & ~_shared("", "o_", words))
+
+    pair = lambda df: df.select(F.col("employer").alias("employer_a"), F.col("other").alias("employer_b"))
+    return pair(met(rows).where("m = 1 or o_m = 1")).unionAll(pair(met(rows.where("m > 1"))).distinct())
 
 
 def upsert_registry(registry: DataFrame, proposals: DataFrame, today: str) -> DataFrame:

@@ -83,3 +83,38 @@ def test_registry_keeps_what_it_knows(spark):
     got = {tuple(r) for r in people.upsert_registry(old, new, "2026").select("name", "why", "careers_url", "status", "applied_to", "added").collect()}
     assert got == {("Acme Inc", "kept", "u", "resolved", True, "2020"), ("Zed", "", "", "new", False, "2026")}
     assert people.upsert_registry(old.limit(0), new.limit(0), "x").count() == 0
+
+
+def _employers_pairs(rows):
+    by = {}
+    for p, e in rows:
+        if p and e:
+            by.setdefault(p, set()).add(e)
+    return sorted({(a, b) for es in by.values() for a in es for b in es if a < b})
+
+
+def test_alias_pairs_come_once(spark, monkeypatch):
+    r = random.Random(5)
+    many = [(f"p{r.randrange(40)}", f"e{r.randrange(25)}") for _ in range(600)] + [(f"q{n % 90}", f"f{n // 90} x{n % 7}") for n in range(450)]
+    cases = [many + many[:50] + [("", "e1"), (None, "e2"), ("p1", None), ("p2", "")], [("p", f"e{n}") for n in range(40)], [("p", "e1"), ("q", "e1"), ("q", "e2")], [("p", "e1")], []]
+    for wide, most, block in [(64, 1024, 1000), (3, 70, 4), (2, 2, 1)]:
+        for name, value in [("WIDE", wide), ("MOST", most), ("BLOCK", block)]:
+            monkeypatch.setattr(people, name, value, raising=False)
+        for rows in cases:
+            got = people.alias_pairs(spark.createDataFrame(rows, "person string, employer string"))
+            assert got.columns == ["employer_a", "employer_b"]
+            assert sorted(map(tuple, got.collect())) == _employers_pairs(rows)
+
+
+def test_alias_pairs_are_not_shuffled(spark):
+    rows = spark.range(1500).selectExpr("'p' as person", "concat('e', id) as employer").unionAll(spark.range(1500).selectExpr("concat('q', id div 2)", "concat('e', id)"))
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        each = context.statusStore().executorList(False)
+        return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+    before = written()
+    assert people.alias_pairs(rows).count() == 1500 * 1499 // 2
+    assert written() - before < 1_000_000
