@@ -128,26 +128,24 @@ def alias_pairs(seen: DataFrame) -> DataFrame:
     return others.unionAll(_pairs_in_blocks(under, bits, words, int(blocks))) if numbered else others
 
 
-def _shared(x: str, y: str, words: list[str], within: str = "") -> Column:
-    """Whether the bits of two employers have one in common, among those of the columns ``within`` if named."""
-    return functools.reduce(lambda a, b: a | b, [F.col(f"{x}{w}").bitwiseAND(F.col(f"{y}{w}")).bitwiseAND(F.col(f"{within}{w}") if within else F.lit(-1)) != 0 for w in words], F.lit(False))
-
-
 def _pairs_in_blocks(under: DataFrame, bits: DataFrame, words: list[str], blocks: int) -> DataFrame:
-    """Pairs of employers of the numbered persons: employers (employer, n, bit) go into blocks of about ``BLOCK``, each block meets each other one, and only there pairs are made."""
+    """Pairs of employers of the numbered persons: employers (employer, n, bit) go into blocks of about ``BLOCK``, each employer meets the lists of its own and of the later blocks, and only there pairs are made."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = under.join(bits, "employer").select("bit", parts.alias("parts"), F.pmod(F.xxhash64("employer"), parts).cast("int").alias("part"), F.struct("employer", *words).alias("e"))
-    lists = cut(held.groupBy("bit", "parts", "part").agg(F.collect_list("e").alias("es")))
-    own, tasks = ["bit", "i", "j"], max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
-    left = lists.select("bit", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), F.col("es").alias("xs"))
-    right = lists.select("bit", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("es").alias("ys"))
+    held = cut(under.join(bits, "employer").select("bit", parts.alias("parts"), F.pmod(F.xxhash64("employer"), parts).cast("int").alias("part"), "employer", *words))
+    lists = held.groupBy("bit", "part").agg(F.collect_list(F.struct("employer", *words)).alias("ys"))
+    at, own = F.floor(F.col("bit") / 63), ["bit", "i", "j"]
+    # of its bits an employer shows those of persons before this one
+    earlier = [F.when(at > k, F.lit(-1)).when(at == k, F.expr("shiftleft(1L, bit % 63) - 1")).otherwise(F.lit(0)).bitwiseAND(F.col(w)).alias(f"x_{w}") for k, w in enumerate(words)]
+    left = held.select("bit", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), F.col("employer").alias("x"), *earlier)
+    # one list for each field, so that a pair reads from them and makes no row of its own
+    right = lists.select("bit", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), *[F.col(f"ys.{c}").alias(f"ys_{c}") for c in ["employer", *words]])
+    tasks = max(int(under.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
     # lists are sent to many, so the size of their table says nothing of a broadcast
     met = left.repartition(tasks, *own).join(right.repartition(tasks, *own).hint("merge"), own)
-    at = F.floor(F.col("bit") / 63)
-    earlier = [F.when(at > k, F.lit(-1)).when(at == k, F.expr("shiftleft(1L, bit % 63) - 1")).otherwise(F.lit(0)).cast("bigint").alias(f"b_{w}") for k, w in enumerate(words)]
-    each = met.select("i", "j", *earlier, "ys", F.explode("xs").alias("x")).select("i", "j", *[f"b_{w}" for w in words], "x", F.explode("ys").alias("y"))
-    once = each.where(((F.col("i") < F.col("j")) | (F.col("x.employer") < F.col("y.employer"))) & ~_shared("x.", "y.", words, "b_"))
-    return once.select(F.least("x.employer", "y.employer").alias("employer_a"), F.greatest("x.employer", "y.employer").alias("employer_b"))
+    each = met.select("i", "j", "x", *[f"x_{w}" for w in words], *[f"ys_{w}" for w in words], F.posexplode("ys_employer").alias("q", "y"))
+    before = functools.reduce(lambda a, b: a | b, [F.col(f"x_{w}").bitwiseAND(F.get(f"ys_{w}", F.col("q"))) != 0 for w in words])
+    once = each.where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & ~before)
+    return once.select(F.least("x", "y").alias("employer_a"), F.greatest("x", "y").alias("employer_b"))
 
 
 def _pairs_of_others(shared: DataFrame, bits: DataFrame, words: list[str]) -> DataFrame:
@@ -157,7 +155,8 @@ def _pairs_of_others(shared: DataFrame, bits: DataFrame, words: list[str]) -> Da
 
     def met(rows: DataFrame) -> DataFrame:
         far = rows.select("person", F.col("employer").alias("other"), F.col("m").alias("o_m"), *[F.col(w).alias(f"o_{w}") for w in words])
-        return rows.join(far, "person").where((F.col("employer") < F.col("other")) & ~_shared("", "o_", words))
+        known = functools.reduce(lambda a, b: a | b, [F.col(w).bitwiseAND(F.col(f"o_{w}")) != 0 for w in words])
+        return rows.join(far, "person").where((F.col("employer") < F.col("other")) & ~known)
 
     pair = lambda df: df.select(F.col("employer").alias("employer_a"), F.col("other").alias("employer_b"))
     return pair(met(rows).where("m = 1 or o_m = 1")).unionAll(pair(met(rows.where("m > 1"))).distinct())
